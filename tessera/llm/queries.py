@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread, table
-from . import fmindex, tokenizer
+from . import fmindex, levels, tokenizer, vptree
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return vptree.neighbour_pairs(vptree.nearest(table(spark, sf, "chunk_embeddings")))
+
+
+def p6_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf, "chunk_embeddings"))
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,6 +34,12 @@ def p9_spans(spark: SparkSession, sf: str) -> DataFrame:
     return fmindex.removal_spans(fmindex.find_leaks(docs, table(spark, sf, "eval_items")))
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").where((F.col("lang") == "en") & F.col("doc_kind").isin("guide", "readme", "design"))
+    ranker = levels.train(table(spark, sf, "graded_samples"))
+    return levels.reading_levels(spread(docs.select("doc_id", "text")), ranker).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
