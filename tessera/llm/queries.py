@@ -8,7 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread, table
-from . import fmindex, levels, tokenizer, vptree
+from . import fmindex, levels, splitting, tokenizer, vptree
+
+
+def _pieces(spark: SparkSession, sf: str, with_text: bool) -> DataFrame:
+    files = spread(table(spark, sf, "source_files").select("file_id", "content", "language"))
+    settings = splitting.read_settings(table(spark, sf, "parser_settings"))
+    return splitting.split_column(files, settings, "file_id", "content", "language", with_text)
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    cuts = _pieces(spark, sf, False).groupBy("file_id").agg(F.max("forced").alias("forced"))
+    return cuts.select("file_id", F.when(F.col("forced"), "forced").otherwise("natural").alias("cut"))
+
+
+def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return _pieces(spark, sf, True).dropDuplicates(["file_id", "piece_no"])
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
