@@ -8,7 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread, table
-from . import fmindex, levels, splitting, tokenizer, vptree
+from . import fmindex, levels, provenance, splitting, tokenizer, vptree
+
+
+def p2_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    files = table(spark, sf, "source_files").where(F.col("file_type") == "code")
+    excluded = provenance.read_excluded(table(spark, sf, "app_settings"))
+    return provenance.machine_made(spread(files.select("file_id", "file_path", "content")), excluded).distinct()
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p2_reasons(spark, sf).select("file_id").distinct()
 
 
 def _pieces(spark: SparkSession, sf: str, with_text: bool) -> DataFrame:
