@@ -35,7 +35,7 @@ _NAME = r"passwords?|passwd|passwort|passphrase|passcode|pwd|pass|secret|token|a
 HINTS = ["passw", "passphrase", "passcode", "pwd", "pass", "secret", "token", "key", "auth", "credential", "bearer", "login", "webhook", "://", "akia", "asia", "ghp_", "gho_", "ghs_", "ghu_", "github_pat_", "glpat-", "xox", "sk_live", "rk_live", "sk-", "sk_test", "eyj", "aiza", "npm_", "begin "]
 _STRING = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
 _KEYED = re.compile(
-    rf"(?P<name>[\w$.-]*?(?:{_NAME})[\w$-]*)(?P<q>[\"'`]?\]?)\s*(?::\s*[\w<>\[\]. |]+?\s*)?(?P<op>:=|=>|=|:)(?!=)\s*(?:[bru]{{0,2}})(?P<value>(?:{_STRING})(?:\s*(?:\+|\\?\n\s*\+?)\s*(?:{_STRING}))*|[^\s\"'`,;#]+)",
+    rf"(?P<name>[\w$.-]*?(?:{_NAME})[\w$-]*)(?P<q>[\"'`]?\]?)\s*(?::\s*[\w<>\[\]. |]+?\s*)?(?P<op>:=|=>|=|:)(?!=)\s*(?:[bru]{{0,2}})(?P<value>(?:{_STRING})(?:\s*(?:\+|\\?\n\s*\+?)\s*(?:{_STRING}))*|[^\s\"'`,;]+)",
     re.I,
 )
 _FLAG = re.compile(rf"--?(?:[\w-]*?(?:{_NAME})[\w-]*)[ =]+(?P<value>{_STRING}|[^\s\"']+)", re.I)
@@ -98,7 +98,7 @@ class Finder:
         if len(set(value)) < 4 or value[0] in "/." and not any(c.isdigit() for c in value):
             return False
         kinds = sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value), any(not c.isalnum() for c in value)))
-        if bare and (_CODE.match(value) and not any(c.isdigit() for c in value)):
+        if bare and (any(c in "[]{}()" for c in value) or _CODE.match(value) and not any(c.isdigit() for c in value)):
             return False
         if kinds < 2 and len(value) < 16:
             return False

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread, table
-from . import fmindex, levels, provenance, splitting, tokenizer, vptree
+from . import credentials, fmindex, levels, provenance, splitting, tokenizer, vptree
 
 
 def p2_reasons(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,6 +44,16 @@ def p6_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return vptree.nearest(table(spark, sf, "chunk_embeddings"))
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    files = spread(table(spark, sf, "source_files").select("file_id", "content"))
+    return credentials.find_credentials(files).distinct()
+
+
+def p7_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    files = spread(table(spark, sf, "source_files").select("file_id", "content"))
+    return credentials.redact_credentials(files).distinct()
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return tokenizer.encode_column(docs, "doc_id", "text")
