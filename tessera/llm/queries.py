@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread, table
-from . import credentials, fmindex, levels, provenance, splitting, tokenizer, vptree
+from . import credentials, fmindex, levels, pairs, provenance, splitting, tokenizer, vptree
 
 
 def p2_reasons(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,6 +36,11 @@ def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return _pieces(spark, sf, True).dropDuplicates(["file_id", "piece_no"])
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    logs = table(spark, sf, "query_logs").where(F.col("generation_mode") == "service").select("id", "question", "answer")
+    return pairs.broken_pairs(spread(logs), pairs.train(logs)).distinct()
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return vptree.neighbour_pairs(vptree.nearest(table(spark, sf, "chunk_embeddings")))
 
