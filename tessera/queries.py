@@ -1,4 +1,4 @@
-"""Queries over the test tables for the core operators."""
+"""Queries over the test tables for the core operators, and SQL to hold them against."""
 
 from __future__ import annotations
 
@@ -6,10 +6,53 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators import snapshots
+from .session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL that gives the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+_P1 = """
+with r as (
+  select snapshot_no, lower(trim(repository_identifier)) rid, '' as file_path, delivered_at,
+         coalesce(repository_url, chr(1)) || '|' || coalesce(total_files::varchar, chr(1)) || '|' || coalesce(total_chunks::varchar, chr(1)) || '|' || coalesce(lower(last_commit_hash), chr(1)) v, 'r' k
+  from repository_snapshots
+  union all
+  select snapshot_no, lower(trim(repository_identifier)), file_path, delivered_at,
+         coalesce(file_type, chr(1)) || '|' || coalesce(file_size::varchar, chr(1)) || '|' || coalesce(line_count::varchar, chr(1)) || '|' || coalesce(lower(content_hash), chr(1)), 'f'
+  from file_snapshots),
+l as (select * from (select *, row_number() over (partition by k, snapshot_no, rid, file_path order by delivered_at desc) n from r) where n = 1),
+s as (select k, snapshot_no, lag(snapshot_no) over (partition by k order by snapshot_no) prev from (select distinct k, snapshot_no from l)),
+a as (select s.k, s.snapshot_no, l.rid, l.file_path, l.v from s join l on l.k = s.k and l.snapshot_no = s.snapshot_no where prev is not null),
+b as (select s.k, s.snapshot_no, l.rid, l.file_path, l.v from s join l on l.k = s.k and l.snapshot_no = s.prev)
+select coalesce(a.snapshot_no, b.snapshot_no) snapshot_no, coalesce(a.rid, b.rid) repository_identifier, coalesce(a.file_path, b.file_path) file_path,
+       case when b.rid is null then 'added' when a.rid is null then 'removed' else 'changed' end change_kind
+from a full outer join b on a.k = b.k and a.snapshot_no = b.snapshot_no and a.rid = b.rid and a.file_path = b.file_path
+where a.v is distinct from b.v
+"""
+
+
+@query(_P1)
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return snapshots.repository_and_file_changes(table(spark, sf, "repository_snapshots"), table(spark, sf, "file_snapshots"))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
