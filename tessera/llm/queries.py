@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread, table
-from . import credentials, fmindex, levels, pairs, provenance, splitting, tokenizer, vptree
+from . import credentials, fmindex, levels, pairs, provenance, splitting, syntax, tokenizer, vptree
 
 
 def p2_reasons(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,6 +41,23 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.broken_pairs(spread(logs), pairs.train(logs)).distinct()
 
 
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    files = table(spark, sf, "source_files").where((F.col("file_type") == "code") & F.col("content").isNotNull())
+    return syntax.unparsable(spread(files.select("file_id", "file_path", "content"))).distinct()
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _judged(spark, sf).where(~F.col("valid")).select("file_id")
+
+
+def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of files that do not parse, per repository and language of the extension."""
+    owner = table(spark, sf, "source_files").where(F.col("file_type") == "code").select("file_id", "repository_identifier").distinct()
+    bad = (~F.col("valid")).cast("int")
+    rates = _judged(spark, sf).join(owner, "file_id").groupBy("repository_identifier", "language")
+    return rates.agg(F.count("*").alias("files"), F.sum(bad).alias("invalid"), F.round(F.avg(bad), 6).alias("share"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return vptree.neighbour_pairs(vptree.nearest(table(spark, sf, "chunk_embeddings")))
 
