@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .lexical import ranked
 
@@ -30,7 +31,7 @@ def top(base: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", v
     for b in range(max(1, blocks)):
         some = queries if blocks <= 1 else queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b)
         rows = some.select(query, query_vector).where(F.col(query_vector).isNotNull()).collect()
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)))
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1 if rows else 0)))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
@@ -102,7 +103,7 @@ def with_retry(call: Callable[[list[str]], list[list[float]]], texts: list[str],
 
 def embed(chunks: DataFrame, provider: EmbeddingProvider, content: str = "content", out: str = "embedding", batch: int = 32) -> DataFrame:
     """Adds a vector per row; texts go to the provider in slices of ``batch``, null as ''."""
-    schema = chunks.schema.add(out, "array<float>")
+    schema = T.StructType([*chunks.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,36 +16,65 @@ from ..functions import paths, text
 INSTRUCTIONS = "FROM|RUN|COPY|ADD|WORKDIR|CMD|ENTRYPOINT"
 
 
-def read_ignore(spark: SparkSession, root: str) -> list[str]:
+MAX_BYTES = 4 * text.MAX_CHARS
+
+
+def _open(root: str):
+    return pafs.FileSystem.from_uri(root if "://" in root else os.path.abspath(root))
+
+
+def read_ignore(root: str) -> list[str]:
     """Lines of the root's ignore file; none if there is no such file."""
-    try:
-        lines = spark.read.text(f"{root.rstrip('/')}/.gitignore").limit(100_000).collect()
-    except Exception as e:  # an absent path is an analysis error
-        if "PATH_NOT_FOUND" in str(e):
-            return []
-        raise
-    return [x for r in lines if (x := r[0].strip()) and not x.startswith("#")]
+    fs, base = _open(root)
+    path = f"{base.rstrip('/')}/.gitignore"
+    if fs.get_file_info(path).type != pafs.FileType.File:
+        return []
+    with fs.open_input_stream(path) as f:
+        lines = f.read().decode("utf-8", "replace").splitlines()
+    return [x.strip() for x in lines if x.strip() and not x.strip().startswith("#")]
 
 
 def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, excluded: list[str] = paths.EXCLUDED, allowed: list[str] = paths.ALLOWED) -> DataFrame:
     """(file_path, file_name, file_extension, file_type, language, file_size, content) of admitted files.
 
-    Paths are relative to ``root``; directories are pruned below it.
+    Paths are relative to ``root``; directories are pruned below it.  The driver
+    lists the root only; tasks list the directories below and read the files,
+    those that begin with an underscore or a dot too, which the engine's own
+    file sources hide.  Files of more bytes than any admitted text has come
+    without content; an absent root is an error.
     """
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    bare = base.split("://")[-1].removeprefix("file:")
-    relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/"), "^" + _quote("/" + bare.strip("/")) + "/", "")
-    found = raw.withColumn("file_path", relative)
-    ignore = read_ignore(spark, root) if ignore is None else ignore
-    found = found.where(~paths.pruned(F.col("file_path"), excluded) & ~paths.ignored(F.col("file_path"), ignore) & paths.admitted(F.col("file_path"), allowed))
-    return found.select("file_path", paths.base_name(F.col("file_path")).alias("file_name"), paths.extension(F.col("file_path")).alias("file_extension"), paths.file_type(F.col("file_path")).alias("file_type"), paths.language(F.col("file_path")).alias("language"), F.col("length").alias("file_size"), text.decode(F.col("content")).alias("content"))
-
-
-def _quote(s: str) -> str:
-    import re
-
-    return re.escape(s)
+    fs, base = _open(root)
+    base = base.rstrip("/")
+    top = fs.get_file_info(pafs.FileSelector(base))
+    first = [(f.path, f.size if f.is_file else -1) for f in top if f.is_file or not (f.base_name in excluded or f.base_name.startswith("."))]
+    ignore = read_ignore(root) if ignore is None else ignore
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, _ = _open(root)
+        for pdf in batches:
+            for path, size in zip(pdf.path, pdf["size"]):
+                if size >= 0:
+                    yield pd.DataFrame({"path": [path], "size": [size]})
+                    continue
+                todo = [path]
+                while todo:
+                    found = fs.get_file_info(pafs.FileSelector(todo.pop()))
+                    todo += [f.path for f in found if f.type == pafs.FileType.Directory and not (f.base_name in excluded or f.base_name.startswith("."))]
+                    files = [(f.path, f.size) for f in found if f.is_file]
+                    yield pd.DataFrame(files, columns=["path", "size"])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, _ = _open(root)
+        for pdf in batches:
+            for a in range(0, len(pdf), 64):
+                part = pdf.iloc[a : a + 64]
+                yield part.assign(raw=[fs.open_input_stream(p).read() if s <= MAX_BYTES else None for p, s in zip(part.path, part["size"])])
+
+    every = spark.createDataFrame(first, "path string, size long").repartition(max(1, min(len(first), spark.sparkContext.defaultParallelism))).mapInPandas(listed, "path string, size long")
+    p = F.col("file_path")
+    chosen = every.withColumn("file_path", F.substring("path", len(base) + 2, 1 << 20)).where(~paths.pruned(p, excluded) & ~paths.ignored(p, ignore) & paths.admitted(p, allowed))
+    loaded = chosen.mapInPandas(read, "path string, size long, file_path string, raw binary")
+    return loaded.select("file_path", paths.base_name(p).alias("file_name"), paths.extension(p).alias("file_extension"), paths.file_type(p).alias("file_type"), paths.language(p).alias("language"), F.col("size").alias("file_size"), text.decode(F.col("raw")).alias("content"))
 
 
 def special_kind(path: Column, content: Column) -> Column:
