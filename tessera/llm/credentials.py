@@ -178,7 +178,7 @@ class Finder:
                 if body:
                     stop = _END.search(text, key.end())
                     last = min(body.end("body"), stop.start() if stop else len(text))
-                    if last > body.start("body"):
+                    if len(set(text[body.start("body") : last])) > 8:  # not one that is blanked out
                         spans.append((body.start("body"), last))
                         skip = max(skip, last)
             if end - start <= 20_000:

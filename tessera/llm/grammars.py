@@ -130,7 +130,7 @@ JS = _JS_CORE + _JS_ONLY
 TS = _JS_CORE + _TS_ONLY
 
 JAVA = r"""
-Unit: (Anno* 'package' QName ';')? (Import | ';')* (TypeDecl | ';')* | (Import | ';')* Anno* 'open'? 'module' QName {:ModuleBody} | (Import | ';')* Member*
+Unit: (Anno* 'package' QName ';')? (Import | ';')* (TypeDecl | ';')* | (Import | ';')* Anno* 'open'? 'module' QName {:ModuleBody}
 ModuleBody: (('requires' ('transitive' | 'static')* | 'exports' | 'opens' | 'uses' | 'provides') QName (('to' | 'with') QName (',' QName)*)? ';')*
 Import: 'import' ('static' | 'module')? QName ('.' '*')? ';'
 QName: Id ('.' Id)*

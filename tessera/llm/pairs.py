@@ -125,7 +125,7 @@ def ending(answer: str) -> tuple[float, ...]:
     tail = re.sub(r"[\s\"'”’»)\]*_`」）\U0001F000-\U0001FAFF☀-➿️‍]+$", "", last)
     done = bool(re.search(r"[.!?。！？…؟]$", tail)) or bool(re.search(r"[.!?。！？]\s*\([^()]*\)$", last))
     arrow = bool(re.search(r"[.!?。！？]\s*(?:→|->|=>|:|–|—)?\s*`[^`]+`$", last)) or bool(re.fullmatch(r"`[^`]+`", text))
-    value = len(lines) == 1 and len(text.split()) == 1 and not re.search(r"[一-鿿]{6}", text)
+    value = len(lines) == 1 and len(text.split()) == 1 and not re.search(r"[一-鿿]{6}|[,;:，；：]$", text)
     closed = not (mark or fence or row) and (done or arrow or value or last.startswith((">", "#")) or bool(re.match(r"(?:https?://|www\.)\S+$", last)) or (last.endswith("```") and not fence) or (last.startswith("|") and not row) or (bool(_LISTING.match(last)) and not mark and len(last.split()) >= 2))
     dangling = float(bool(re.search(r"[,;:，；：、(（\[{\-–]$", last)) and not last.startswith("|"))
     return float(fence), row, mark, float(not closed and not fence and not row), dangling, float(closed)

@@ -69,7 +69,8 @@ def split_batch(texts: list[str], sizes: np.ndarray, overlaps: np.ndarray) -> tu
     lines = np.unique(np.concatenate([begin[:-1], np.flatnonzero(feed) + 1]))
     lines = lines[lines < len(chars)]
     line_of = lines[np.searchsorted(lines, words, "right") - 1]  # each word's line
-    leads = np.concatenate([[True], line_of[1:] != line_of[:-1]])  # first word of its line
+    leads = np.ones(len(words), bool)  # first word of its line
+    leads[1:] = line_of[1:] != line_of[:-1]
     rank = np.where(leads, 2, 1)
     spot = np.where(leads, line_of, words)
     flush = leads & (line_of == words)
