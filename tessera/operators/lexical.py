@@ -21,32 +21,34 @@ from ..functions import text
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 PATTERN_CHARS = 16_000_000
+TOKENS = 200_000
 
 
 @dataclass
 class Index:
-    postings: DataFrame  # (chunk, token)
+    postings: DataFrame  # (chunk, dl, token)
     lengths: DataFrame  # (chunk, dl)
     idf: DataFrame  # (token, df, idf): floored
     stats: DataFrame  # one row: chunks, avgdl, mean_idf, terms
-    kept: DataFrame
+    kept: list[DataFrame]  # what stays in memory or on disk
 
     def clear(self) -> None:
-        self.kept.unpersist()
+        for df in self.kept:
+            df.unpersist()
 
 
 def build(chunks: DataFrame, chunk: str = "chunk_seq", content: str = "content", path: str = "file_path") -> Index:
     both = F.concat(F.coalesce(content, F.lit("")), F.lit(" "), F.coalesce(path, F.lit("")))
     kept = chunks.select(F.col(chunk).alias("chunk"), text.tokens(both).alias("tokens")).persist(StorageLevel.MEMORY_AND_DISK)
     lengths = kept.select("chunk", F.size("tokens").alias("dl"))
-    postings = kept.select("chunk", F.explode("tokens").alias("token"))
-    df = postings.groupBy("token").agg(F.count("*").alias("df"))
+    postings = kept.select("chunk", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
+    df = postings.groupBy("token").agg(F.count("*").alias("df")).persist(StorageLevel.MEMORY_AND_DISK)
     size = lengths.agg(F.count("*").alias("chunks"), F.avg("dl").alias("avgdl"))
     raw = df.crossJoin(F.broadcast(size)).select("token", "df", (F.log(F.col("chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # one row
     terms = raw.agg(F.avg("raw").alias("mean_idf"), F.count("*").alias("terms"))
     stats = size.crossJoin(terms)  # one row each
     idf = raw.crossJoin(F.broadcast(terms)).select("token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, lengths, idf, stats, kept)
+    return Index(postings, lengths, idf, stats, [df, kept])
 
 
 def question_tokens(questions: DataFrame, key: str, question: str) -> DataFrame:
@@ -54,13 +56,19 @@ def question_tokens(questions: DataFrame, key: str, question: str) -> DataFrame:
 
 
 def scores(index: Index, questions: DataFrame, key: str = "query_id", question: str = "question") -> DataFrame:
-    """(q, chunk, bm25) of chunks that share a token with the question."""
+    """(q, chunk, bm25) of chunks that share a token with the question.
+
+    The questions' tokens, counted first, are broadcast up to ``TOKENS`` of
+    them; postings then are neither shuffled nor sorted, only sums are.
+    """
     wanted = question_tokens(questions, key, question)
-    terms = index.idf.join(wanted.select("token").distinct(), "token", "left_semi")
-    hits = index.postings.join(terms, "token").join(index.lengths, "chunk").crossJoin(F.broadcast(index.stats.select("avgdl")))  # one row
+    small = wanted.count() <= TOKENS
+    hint = F.broadcast if small else (lambda df: df)
+    terms = index.idf.join(hint(wanted.select("token").distinct()), "token", "left_semi").select("token", "idf")
+    hits = index.postings.join(hint(terms), "token").crossJoin(F.broadcast(index.stats.select("avgdl")))  # one row
     part = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     weighed = hits.select("token", "chunk", part.alias("part"))
-    return weighed.join(wanted, "token").groupBy("q", "chunk").agg(F.sum("part").alias("bm25"))
+    return weighed.join(hint(wanted), "token").groupBy("q", "chunk").agg(F.sum("part").alias("bm25"))
 
 
 def patterns(questions: DataFrame, key: str, question: str) -> DataFrame:

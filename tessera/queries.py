@@ -63,7 +63,7 @@ _SPACE = r"\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     ext = F.element_at(F.array(*[F.lit(e) for e in _EXT]), (F.col("doc_id") % len(_EXT) + 1).cast("int"))
     path = F.concat(F.coalesce("source", F.lit("src")), F.lit("/doc_"), F.col("doc_id").cast("string"), ext)
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_seq"), F.coalesce("text", F.lit("")).alias("content"), path.alias("file_path"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "source")).select(F.col("doc_id").alias("chunk_seq"), F.coalesce("text", F.lit("")).alias("content"), path.alias("file_path"))
 
 
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,7 +119,7 @@ bt as (select q, chunk, score, row_number() over (partition by q order by score
 @query(f"select doc_id, unnest({_tokens('coalesce(text, chr(32))')}) token from documents")
 def tokenize(spark, sf):
     """Distinct tokens of every document."""
-    return table(spark, sf, "documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("token"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode(text.tokens(F.col("text"))).alias("token"))
 
 
 @query(f"with {_ASKED}, {_BM25} select token, df, round(idf, 6) idf from idf")
