@@ -29,7 +29,7 @@ class Index:
     postings: DataFrame  # (chunk, dl, token)
     lengths: DataFrame  # (chunk, dl)
     idf: DataFrame  # (token, df, idf): floored
-    stats: DataFrame  # one row: chunks, avgdl, mean_idf, terms
+    stats: dict[str, float]  # chunks, avgdl, mean_idf, terms
     kept: list[DataFrame]  # what stays in memory or on disk
 
     def clear(self) -> None:
@@ -43,11 +43,13 @@ def build(chunks: DataFrame, chunk: str = "chunk_seq", content: str = "content",
     lengths = kept.select("chunk", F.size("tokens").alias("dl"))
     postings = kept.select("chunk", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
     df = postings.groupBy("token").agg(F.count("*").alias("df")).persist(StorageLevel.MEMORY_AND_DISK)
-    size = lengths.agg(F.count("*").alias("chunks"), F.avg("dl").alias("avgdl"))
-    raw = df.crossJoin(F.broadcast(size)).select("token", "df", (F.log(F.col("chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # one row
-    terms = raw.agg(F.avg("raw").alias("mean_idf"), F.count("*").alias("terms"))
-    stats = size.crossJoin(terms)  # one row each
-    idf = raw.crossJoin(F.broadcast(terms)).select("token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    size = lengths.agg(F.count("*").alias("chunks"), F.avg("dl").alias("avgdl")).first()
+    n = float(size["chunks"])
+    raw = df.select("token", "df", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    terms = raw.agg(F.avg("raw").alias("mean_idf"), F.count("*").alias("terms")).first()
+    floor = EPSILON * (terms["mean_idf"] or 0.0)
+    idf = raw.select("token", "df", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("idf"))
+    stats = {"chunks": size["chunks"], "avgdl": size["avgdl"] or 0.0, "mean_idf": terms["mean_idf"] or 0.0, "terms": terms["terms"]}
     return Index(postings, lengths, idf, stats, [df, kept])
 
 
@@ -65,9 +67,9 @@ def scores(index: Index, questions: DataFrame, key: str = "query_id", question:
     small = wanted.count() <= TOKENS
     hint = F.broadcast if small else (lambda df: df)
     terms = index.idf.join(hint(wanted.select("token").distinct()), "token", "left_semi").select("token", "idf")
-    hits = index.postings.join(hint(terms), "token").crossJoin(F.broadcast(index.stats.select("avgdl")))  # one row
-    part = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighed = hits.select("token", "chunk", part.alias("part"))
+    # every posting belongs to a chunk with tokens, so the mean length is not 0
+    part = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / F.lit(index.stats["avgdl"] or 1.0)))
+    weighed = index.postings.join(hint(terms), "token").select("token", "chunk", part.alias("part"))
     return weighed.join(hint(wanted), "token").groupBy("q", "chunk").agg(F.sum("part").alias("bm25"))
 
 

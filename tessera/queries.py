@@ -131,7 +131,8 @@ def bm25_stats(spark, sf):
 @query(f"with {_ASKED}, {_BM25} select n chunks, round(avgdl, 6) avgdl, round(mean_idf, 6) mean_idf, terms from size, terms")
 def bm25_corpus(spark, sf):
     """Corpus statistics of the index."""
-    return lexical.build(_chunks(spark, sf)).stats.select("chunks", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"), "terms")
+    stats = lexical.build(_chunks(spark, sf)).stats
+    return spark.createDataFrame([(stats["chunks"], round(stats["avgdl"], 6), round(stats["mean_idf"], 6), stats["terms"])], "chunks long, avgdl double, mean_idf double, terms long")
 
 
 @query(f"with {_ASKED}, {_BM25}, {_boost('chunks')}, {_TOP} select q query_id, chunk chunk_seq, score, rank from bt")
