@@ -30,19 +30,21 @@ from .tokenizer import TOKENIZERS, open_bpe
 
 #: At most so many characters per subword in an unnatural string.
 UNNATURAL = 2.6
+#: How far around a hint a very long line is looked at.
+BEFORE, AFTER = 200, 4_000
 _NAME = r"passwords?|passwd|passwort|passphrase|passcode|pwd|pass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key|encryption[_-]?key|account[_-]?key|secret[_-]?key|auth[_-]?key|auth|authorization|credentials?|bearer|webhook"
 #: What the automaton looks for before a line is looked at.
 HINTS = ["passw", "passphrase", "passcode", "pwd", "pass", "secret", "token", "key", "auth", "credential", "bearer", "login", "webhook", "://", "akia", "asia", "ghp_", "gho_", "ghs_", "ghu_", "github_pat_", "glpat-", "xox", "sk_live", "rk_live", "sk-", "sk_test", "eyj", "aiza", "npm_", "begin "]
 _STRING = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
 _KEYED = re.compile(
-    rf"(?P<name>[\w$.-]*?(?:{_NAME})[\w$-]*)(?P<q>[\"'`]?\]?)\s*(?::\s*[\w<>\[\]. |]+?\s*)?(?P<op>:=|=>|=|:)(?!=)\s*(?:[bru]{{0,2}})(?P<value>(?:{_STRING})(?:\s*(?:\+|\\?\n\s*\+?)\s*(?:{_STRING}))*|[^\s\"'`,;]+)",
+    rf"(?P<name>[\w$.-]{{0,64}}?(?:{_NAME})[\w$-]{{0,64}})(?P<q>[\"'`]?\]?)\s{{0,40}}(?::\s{{0,40}}[\w<>\[\]. |]{{1,60}}?\s{{0,40}})?(?P<op>:=|=>|=|:)(?!=)\s*(?:[bru]{{0,2}})(?P<value>(?:{_STRING})(?:\s*(?:\+|\\?\n\s*\+?)\s*(?:{_STRING}))*|[^\s\"'`,;]+)",
     re.I,
 )
-_FLAG = re.compile(rf"--?(?:[\w-]*?(?:{_NAME})[\w-]*)[ =]+(?P<value>{_STRING}|[^\s\"']+)", re.I)
-_HEADER = re.compile(rf"\b(?:x-[\w-]*(?:key|token|secret|auth)[\w-]*|authorization|proxy-authorization)\s*:\s*(?:(?:bearer|basic|token)\s+)?(?P<value>[^\s\"'`,;]+)", re.I)
+_FLAG = re.compile(rf"--?(?:[\w-]{{0,40}}?(?:{_NAME})[\w-]{{0,40}})[ =]{{1,20}}(?P<value>{_STRING}|[^\s\"']+)", re.I)
+_HEADER = re.compile(rf"\b(?:x-[\w-]{{0,40}}?(?:key|token|secret|auth)[\w-]{{0,40}}|authorization|proxy-authorization)\s*:\s*(?:(?:bearer|basic|token)\s+)?(?P<value>[^\s\"'`,;]+)", re.I)
 _PROSE = re.compile(r"\b(?:token|password|passwd|passphrase|secret|key|login|pass|pwd)\b(?:\s+(?:is|was|for|of|to|now|here|the)\b|\s+[a-z]\w*)?(?:\s*[:=/]\s*|\s+(?:/\s*)?)(?P<value>[^\s\"'`,;()]{6,})", re.I)
 _LOGIN = re.compile(r"\b(?:login|account|user|credentials)\b[^\n]{0,40}?\s/\s(?P<value>[^\s\"'`,;()]{6,})", re.I)
-_URL = re.compile(r"\b[a-z][a-z0-9+.-]*://(?P<user>[^\s:/@\"'`<>]*):(?P<value>[^\s/@\"'`]+)@[\w.\[\]${}<>-]+", re.I)
+_URL = re.compile(r"\b[a-z][a-z0-9+.-]{0,20}://(?P<user>[^\s:/@\"'`<>]{0,120}):(?P<value>[^\s/@\"'`]{1,400})@[\w.\[\]${}<>-]+", re.I)
 _FIXED = re.compile(
     r"(?<![A-Za-z0-9_/+.-])(?P<value>(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{40,}|glpat-[\w-]{20,}|xox[abpsr]-[\w-]{10,}|(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[\w-]{35}|npm_[A-Za-z0-9]{36}|eyJ[\w-]{10,}\.eyJ[\w-]{10,}\.[\w-]{10,})(?![A-Za-z0-9])"
 )
@@ -183,9 +185,20 @@ class Finder:
                         skip = max(skip, last)
             if end - start <= 20_000:
                 spans += self.line(text, start, end)
-            else:  # very long line: in overlapping pieces
-                for a in range(start, end, 10_000):
-                    spans += self.line(text, a, min(end, a + 12_000))
+            else:  # very long line: around its hints
+                a = z = -1
+                for last, n in self.automaton.iter(lower, start, end):
+                    if z < 0:
+                        a = last - n - BEFORE
+                    elif last - n - BEFORE > z:
+                        spans += self.line(text, max(start, a), min(end, z))
+                        a = last - n - BEFORE
+                    z = last + AFTER
+                    if z - a > 20_000:
+                        spans += self.line(text, max(start, a), min(end, z))
+                        a, z = last - BEFORE, last + AFTER
+                if z >= 0:
+                    spans += self.line(text, max(start, a), min(end, z))
             if spans:
                 found[number] = spans
         return list(found.items())
