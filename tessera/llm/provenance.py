@@ -87,11 +87,9 @@ class Judge:
         self.automaton = _automaton()
 
     def notice(self, text: str) -> str | None:
-        lines = text.split("\n") if len(text) < 20_000 else text[:8_000].split("\n")
-        zone = _comment_lines(lines)
-        tail = (lines if len(text) < 20_000 else text[-4_000:].split("\n"))[::-1]
+        zone = _comment_lines(text.split("\n", HEAD_LINES))
         foot = []
-        for line in tail:
+        for line in text.rstrip().rsplit("\n", FOOT_LINES + 20)[::-1]:
             if not line.strip():
                 continue
             if len(foot) == FOOT_LINES or not _COMMENT.match(line) or line.lstrip()[:3] in ('"""', "'''"):
