@@ -91,9 +91,10 @@ def prose(text: str) -> str:
 def language(text: str) -> tuple[str | None, float]:
     """The language of the prose and how sure that is (0 to 1)."""
     text = prose(text)
-    han = sum("一" <= c <= "鿿" for c in text)
-    words = [w.lower() for w in re.findall(r"[^\W\d_]+", text) if not "一" <= w[0] <= "鿿"]
-    hits = {k: sum(w in s for w in words) + 1.5 * sum(c in extra for w in words for c in w) for k, (s, extra) in _STOP.items()}
+    han = 0 if text.isascii() else sum("一" <= c <= "鿿" for c in text)
+    words = Counter(w.lower() for w in re.findall(r"[^\W\d_]+", text) if not "一" <= w[0] <= "鿿")
+    special = Counter(c for w, n in words.items() if not w.isascii() for c in w * n)
+    hits = {k: sum(n for w, n in words.items() if w in s) + 1.5 * sum(n for c, n in special.items() if c in extra) for k, (s, extra) in _STOP.items()}
     hits["zh"] = han / 1.5
     (best, n), (_, second) = Counter(hits).most_common(2)
     if n < 1:
@@ -170,13 +171,10 @@ def _slot(gram: str) -> int:
 
 
 def ngrams(answer: str | None) -> np.ndarray:
-    x = np.zeros(HASHED, np.float32)
-    text = (answer or "").casefold()
-    words = re.findall(r"[^\W\d_]+|\d|[^\w\s]", text[:4000])
+    words = re.findall(r"[^\W\d_]+|\d|[^\w\s]", (answer or "").casefold())
     words = [c for w in words for c in (w if "一" <= w[0] <= "鿿" else (w,))]
-    for n in (1, 2):
-        for i in range(len(words) - n + 1):
-            x[_slot(" ".join(words[i : i + n]))] += 1
+    grams = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+    x = np.bincount(np.fromiter(map(_slot, grams), np.int64, len(grams)), minlength=HASHED).astype(np.float32)
     norm = float(np.sqrt((x * x).sum()))
     return x / norm if norm else x
 
