@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small
 from . import lexical, vector
 
 RRF = 60
@@ -25,6 +26,7 @@ def hybrid(chunks: DataFrame, questions: DataFrame, index: lexical.Index | None
     ``chunks``: chunk_seq, content, file_path, embedding; ``questions``:
     query_id, question, query_vector.
     """
+    questions, _ = small(questions, vector.BLOCK)
     index = index or lexical.build(chunks)
     near = vector.top(chunks.where(F.col("embedding").isNotNull()), questions, vector_k, "chunk_seq")
     return rrf(near, lexical.top(index, chunks, questions, bm25_k), k)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import small
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 PATTERN_CHARS = 16_000_000
@@ -60,12 +61,10 @@ def question_tokens(questions: DataFrame, key: str, question: str) -> DataFrame:
 def scores(index: Index, questions: DataFrame, key: str = "query_id", question: str = "question") -> DataFrame:
     """(q, chunk, bm25) of chunks that share a token with the question.
 
-    The questions' tokens, counted first, are broadcast up to ``TOKENS`` of
-    them; postings then are neither shuffled nor sorted, only sums are.
+    The questions' tokens are broadcast up to ``TOKENS`` of them; postings then are neither shuffled nor sorted, only sums are.
     """
-    wanted = question_tokens(questions, key, question)
-    small = wanted.count() <= TOKENS
-    hint = F.broadcast if small else (lambda df: df)
+    wanted, few = small(question_tokens(questions, key, question), TOKENS)
+    hint = F.broadcast if few else (lambda df: df)
     terms = index.idf.join(hint(wanted.select("token").distinct()), "token", "left_semi").select("token", "idf")
     # every posting belongs to a chunk with tokens, so the mean length is not 0
     part = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / F.lit(index.stats["avgdl"] or 1.0)))
@@ -85,7 +84,7 @@ def boost(chunks: DataFrame, questions: DataFrame, key: str = "query_id", questi
     All patterns are looked for in each path at once by an automaton; sets of
     patterns beyond ``PATTERN_CHARS`` are searched in parts.
     """
-    wanted = patterns(questions, key, question)
+    wanted, _ = small(patterns(questions, key, question), TOKENS)
     distinct = wanted.select("pattern").distinct()
     chars = distinct.agg(F.sum(F.length("pattern"))).first()[0] or 0
     parts, found = chars // PATTERN_CHARS + 1, None

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import small
 from .lexical import ranked
 
 BLOCK = 2_048
@@ -26,7 +27,8 @@ def top(base: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", v
     ``BLOCK``; a metadata filter is a ``where`` on ``base`` before.
     """
     spark = base.sparkSession
-    blocks = -(-queries.count() // BLOCK)
+    queries, few = small(queries, BLOCK)
+    blocks = 1 if few else -(-queries.count() // BLOCK)
     found = None
     for b in range(max(1, blocks)):
         some = queries if blocks <= 1 else queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b)

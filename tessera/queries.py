@@ -119,7 +119,7 @@ bt as (select q, chunk, score, row_number() over (partition by q order by score
 @query(f"select doc_id, unnest({_tokens('coalesce(text, chr(32))')}) token from documents")
 def tokenize(spark, sf):
     """Distinct tokens of every document."""
-    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode(text.tokens(F.col("text"))).alias("token"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode_outer(text.tokens(F.col("text"))).alias("token")).where("token is not null")  # plain explode would tokenise twice, for a filter it infers
 
 
 @query(f"with {_ASKED}, {_BM25} select token, df, round(idf, 6) idf from idf")

@@ -63,5 +63,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(want, *keys)
 
 
+def small(df: DataFrame, limit: int) -> tuple[DataFrame, bool]:
+    """A local copy of a DataFrame of at most ``limit`` rows, computed once; else itself, and whether it is local."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return df, False
+    return df.sparkSession.createDataFrame(rows, df.schema), True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
