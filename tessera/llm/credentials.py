@@ -1,9 +1,9 @@
 """Credentials embedded in source and configuration files, and their redaction.
 
 Strings that stand where a credential may stand (the value of a telling name, a
-command-line flag, a header, the login of a URL, a private-key block, a word
-after "token" or "password" in a comment, or the fixed prefix of a provider) are
-split by a public subword vocabulary.  Natural words come as few long subwords;
+command-line flag, a header, a bearer string, an argument of a login call, the
+login of a URL, a private-key block, a word after "token" or "password" in a
+comment, or the fixed prefix of a provider) are split by a public subword vocabulary.  Natural words come as few long subwords;
 keys and passwords fall apart into many short ones, so a low number of
 characters per subword marks an unnatural string.  Context rules then take out
 placeholders, references to variables and secret stores, digests, identifiers
@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from re import _parser as sre
 
 import ahocorasick
 import pyarrow as pa
@@ -33,8 +34,6 @@ UNNATURAL = 2.6
 #: How far around a hint a very long line is looked at.
 BEFORE, AFTER = 200, 4_000
 _NAME = r"passwords?|passwd|passwort|passphrase|passcode|pwd|pass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key|encryption[_-]?key|account[_-]?key|secret[_-]?key|auth[_-]?key|auth|authorization|credentials?|bearer|webhook"
-#: What the automaton looks for before a line is looked at.
-HINTS = ["passw", "passphrase", "passcode", "pwd", "pass", "secret", "token", "key", "auth", "credential", "bearer", "login", "webhook", "://", "akia", "asia", "ghp_", "gho_", "ghs_", "ghu_", "github_pat_", "glpat-", "xox", "sk_live", "rk_live", "sk-", "sk_test", "eyj", "aiza", "npm_", "begin "]
 _STRING = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
 _KEYED = re.compile(
     rf"(?P<name>[\w$.-]{{0,64}}?(?:{_NAME})[\w$-]{{0,64}})(?P<q>[\"'`]?\]?)\s{{0,40}}(?::\s{{0,40}}[\w<>\[\]. |]{{1,60}}?\s{{0,40}})?(?P<op>:=|=>|=|:)(?!=)\s*(?:[bru]{{0,2}})(?P<value>(?:{_STRING})(?:\s*(?:\+|\\?\n\s*\+?)\s*(?:{_STRING}))*|[^\s\"'`,;]+)",
@@ -45,8 +44,19 @@ _HEADER = re.compile(rf"\b(?:x-[\w-]{{0,40}}?(?:key|token|secret|auth)[\w-]{{0,4
 _PROSE = re.compile(r"\b(?:token|password|passwd|passphrase|secret|key|login|pass|pwd)\b(?:\s+(?:is|was|for|of|to|now|here|the)\b|\s+[a-z]\w*)?(?:\s*[:=/]\s*|\s+(?:/\s*)?)(?P<value>[^\s\"'`,;()]{6,})", re.I)
 _LOGIN = re.compile(r"\b(?:login|account|user|credentials)\b[^\n]{0,40}?\s/\s(?P<value>[^\s\"'`,;()]{6,})", re.I)
 _URL = re.compile(r"\b[a-z][a-z0-9+.-]{0,20}://(?P<user>[^\s:/@\"'`<>]{0,120}):(?P<value>[^\s/@\"'`]{1,400})@[\w.\[\]${}<>-]+", re.I)
+_BEARER = re.compile(r"\b(?:bearer|basic)\s{1,20}(?P<value>[\w.~+/=-]{12,})|[\"'`]token\s{1,20}(?P<other>[\w.~+/=-]{12,})", re.I)
+#: Calls that take a login (any argument but the first) or a credential (any argument).
+_LOGINS = "connect|login|log_in|logon|log_on|signin|sign_in|authenticate|basic_?auth"
+_CALL = re.compile(rf"(?P<name>\w{{0,64}}?(?:(?P<login>{_LOGINS})|{_NAME})\w{{0,64}})\s{{0,20}}\(", re.I)
+#: What every match of these two holds, without what stands before it: cheap to rule out.
+_KEYED_PART = re.compile(rf"(?:{_NAME})[\w$-]{{0,64}}[\"'`]?\]?\s{{0,40}}[:=]", re.I)
+_CALL_PART = re.compile(rf"(?:{_LOGINS}|{_NAME})\w{{0,64}}\s{{0,20}}\(", re.I)
+_ARGUMENT = re.compile(rf"\s*(?:[bru]{{0,2}}(?P<value>{_STRING})\s*(?=[,)])|(?P<named>[\w.-]+\s*(?:=|:)(?!=))?(?:{_STRING}|\([^()\n]*\)|[^\"'`(),])*)(?P<end>[,)])?")
+#: Calls that look a credential up, and literals that are plain names.
+_GETTER = re.compile(r"^(?:get|fetch|read|load|lookup|find|has|is|delete|remove|require|check|count|list|parse|split|next|peek|emit|log_)(?![a-z])|^(?:get|fetch|read|load|find|has|is|parse)(?=[A-Z_])")
+_PLAIN = re.compile(r"^(?:[a-z]+(?:[_.-][a-z]+)+|[A-Z]+(?:_[A-Z]+)+)[_-]?\d{0,4}$")
 _FIXED = re.compile(
-    r"(?<![A-Za-z0-9_/+.-])(?P<value>(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{40,}|glpat-[\w-]{20,}|xox[abpsr]-[\w-]{10,}|(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[\w-]{35}|npm_[A-Za-z0-9]{36}|eyJ[\w-]{10,}\.eyJ[\w-]{10,}\.[\w-]{10,})(?![A-Za-z0-9])"
+    r"(?<![A-Za-z0-9_/+.-])(?P<value>(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{40,}|glpat-[\w-]{20,}|xox[abpsr]-[\w-]{10,}|(?:(?:sk|rk|pk)_live_|(?:sk|rk|pk)_test_)[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[\w-]{35}|npm_[A-Za-z0-9]{36}|eyJ[\w-]{10,}\.eyJ[\w-]{10,}\.[\w-]{10,})(?![A-Za-z0-9])"
 )
 _FIXED_PART = re.compile(r"^(?:(?:AKIA|ASIA)[0-9A-Z]{12,}|gh[pousr]_|github_pat_|glpat-|xox[abpsr]-|(?:sk|rk)_(?:live|test)_|sk-|AIza|npm_|eyJ)")
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
@@ -69,13 +79,55 @@ _PIECE = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`
 _COMMENT = re.compile(r"^\s*(?://|#|\*|/\*|--|;|<!--|\"\"\"|''')|\s(?://|#)\s")
 
 
+def needed(rule: re.Pattern) -> set[str]:
+    """Strings, in lower case, of which every match of the rule holds one."""
+
+    def walk(items) -> set[str]:
+        best, run = set(), {""}
+        for op, av in [*items, (None, None)]:
+            if op is sre.LITERAL:
+                run = {r + chr(av).lower() for r in run}
+                continue
+            if op is sre.IN and len(av) <= 8 and all(o is sre.LITERAL for o, _ in av) and len(run) <= 8:
+                run = {r + chr(c).lower() for r in run for _, c in av}
+                continue
+            found = [run]
+            run = {""}
+            if op is sre.SUBPATTERN:
+                found.append(walk(av[3]))
+            elif op is sre.BRANCH:
+                parts = [walk(x) for x in av[1]]
+                found.append(set().union(*parts) if all(parts) else set())
+            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and av[0]:
+                found.append(walk(av[2]))
+            for x in found:
+                if x and min(map(len, x)) >= max(1, min(map(len, best), default=0)):
+                    best = x
+        return best
+
+    out = walk(sre.parse(rule.pattern, rule.flags & re.I))
+    assert out, rule.pattern
+    return out
+
+
+RULES = [_KEYED, _FLAG, _HEADER, _PROSE, _LOGIN, _URL, _BEARER, _CALL, _FIXED, _PRIVATE]
+#: What the automaton looks for, with the rules (as bits) that match only where it stands: no rule matches without one.
+HINTS: dict[str, int] = {}
+for _i, _rule in enumerate(RULES):
+    for _h in needed(_rule):
+        HINTS[_h] = HINTS.get(_h, 0) | 1 << _i
+_BIT = {id(r): 1 << i for i, r in enumerate(RULES)}
+#: Letters that match others when case is ignored, beyond their lower case.
+_FOLD = str.maketrans({"\u0131": "i", "\u0130": "i", "\u017f": "s", "\u212a": "k"})
+
+
 class Finder:
     def __init__(self, vocabulary: str, threshold: float = UNNATURAL):
         self.bpe = open_bpe(vocabulary)
         self.threshold = threshold
         self.automaton = ahocorasick.Automaton()
-        for h in HINTS:
-            self.automaton.add_word(h, len(h))
+        for h, rules in HINTS.items():
+            self.automaton.add_word(h, (len(h), rules))
         self.automaton.make_automaton()
         self.ratios: dict[str, float] = {}
 
@@ -106,23 +158,47 @@ class Finder:
             return False
         return self.per_subword(value) <= self.threshold and any(c.isdigit() for c in value) or kinds >= 3 and self.per_subword(value) <= self.threshold - 0.3
 
-    def line(self, text: str, start: int, end: int) -> list[tuple[int, int]]:
-        """Spans of the credentials that begin on this line."""
+    def lines(self, text: str, lower: str) -> Iterator[tuple[int, int, int]]:
+        """Start, end and possible rules of every line that holds a hint."""
+        start = end = -1
+        rules = 0
+        for at, (_, more) in self.automaton.iter(lower):
+            if at < end:
+                rules |= more
+                continue
+            if end >= 0:
+                yield start, end, rules
+            start, end, rules = text.rfind("\n", 0, at) + 1, text.find("\n", at), more
+            end = len(text) if end < 0 else end
+        if end >= 0:
+            yield start, end, rules
+
+    def line(self, text: str, start: int, end: int, rules: int) -> list[tuple[int, int]]:
+        """Spans of the credentials that begin on this line, by the rules that can match."""
         out: list[tuple[int, int]] = []
         s = text[start:end]
         if s.rstrip().endswith(("+", "\\", "(")):  # a literal that goes on
             nxt = text.find("\n", end + 1)
             s = text[start : nxt if nxt >= 0 else len(text)]
-        comment = bool(_COMMENT.search(s))
-        for m in _URL.finditer(s):
+            rules = -1
+        may = lambda rule: rules & _BIT[id(rule)]
+        comment = bool(may(_PROSE) or may(_LOGIN)) and bool(_COMMENT.search(s))
+        for m in _URL.finditer(s) if may(_URL) else ():
             v = m["value"]
             if not _PLACEHOLDER.search(v) and not _REFERENCE.search(v) and len(v) >= 4 and (self.per_subword(v) <= self.threshold or any(c.isdigit() for c in v)):
                 out.append((start + m.start("value"), start + m.end("value")))
-        for m in _FIXED.finditer(s):
+        for m in _FIXED.finditer(s) if may(_FIXED) else ():
             v = m["value"]
             if not _PLACEHOLDER.search(v) and len(set(v)) > 8:
                 out.append((start + m.start("value"), start + m.end("value")))
-        for m in _KEYED.finditer(s):
+        for m in _BEARER.finditer(s) if may(_BEARER) else ():
+            v = (m["value"] or m["other"]).rstrip(".")
+            if self.credible(v, True):
+                a = start + m.start(m.lastgroup)
+                out.append((a, a + len(v)))
+        for m in _CALL.finditer(s) if may(_CALL) and _CALL_PART.search(s) else ():
+            out += self.arguments(text, m["name"], m["login"] is not None, start + m.end())
+        for m in _KEYED.finditer(s) if may(_KEYED) and _KEYED_PART.search(s) else ():
             v, name = m["value"], m["name"]
             quoted = v[:1] in "\"'`"
             if _ABOUT.search(name):
@@ -143,7 +219,7 @@ class Finder:
             elif self.credible(v.rstrip(").]}"), True):
                 out.append((start + m.start("value"), start + m.start("value") + len(v.rstrip(").]}"))))
         for rule in (_FLAG, _HEADER, *((_PROSE, _LOGIN) if comment else ())):
-            for m in rule.finditer(s):
+            for m in rule.finditer(s) if may(rule) else ():
                 v, a = m["value"], m.start("value")
                 if v[:1] in "\"'`" and len(v) > 1:
                     v, a = v[1:-1], a + 1
@@ -153,55 +229,60 @@ class Finder:
                     out.append((start + a, start + a + len(v)))
         return out
 
+    def arguments(self, text: str, name: str, login: bool, at: int) -> list[tuple[int, int]]:
+        """Spans of the credentials among the plain arguments of a call, whose first starts here."""
+        if _ABOUT.search(name) or _GETTER.search(name):
+            return []
+        stop, literals, n = min(len(text), at + AFTER), [], 0
+        while at < stop and (m := _ARGUMENT.match(text, at, stop)):
+            if m["value"]:
+                literals.append((n, m.start("value") + 1, m.end("value") - 1))
+            at, n = m.end(), n + 1
+            if m["end"] != ",":
+                break
+        return [(a, b) for i, a, b in literals if (i or n == 1 or not login) and not _PLAIN.match(text[a:b]) and self.credible(text[a:b], False)]
+
     def __call__(self, text: str) -> list[tuple[int, list[tuple[int, int]]]]:
         """(line number, spans) of every line with a credential."""
-        lower = text.lower()
+        lower = text.lower() if text.isascii() else text.translate(_FOLD).lower()
         if len(lower) != len(text):
-            lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+            lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text.translate(_FOLD))
         found: dict[int, list[tuple[int, int]]] = {}
-        done, number, counted = -1, 1, 0
-        skip = -1
-        for at, size in self.automaton.iter(lower):
-            at -= size - 1
-            if at < done:
-                continue
-            start = text.rfind("\n", 0, at) + 1
-            end = text.find("\n", at)
-            end = len(text) if end < 0 else end
-            done = end
+        number, counted, skip = 1, 0, -1
+        for start, end, rules in self.lines(text, lower):
             if start < skip:
                 continue
             number += text.count("\n", counted, start)
             counted = start
             spans: list[tuple[int, int]] = []
-            key = _PRIVATE.search(text, start, end)
+            key = rules & _BIT[id(_PRIVATE)] and _PRIVATE.search(text, start, end)
             if key:
                 body = _BODY.match(text, key.end())
                 if body:
                     stop = _END.search(text, key.end())
                     last = min(body.end("body"), stop.start() if stop else len(text))
                     if len(set(text[body.start("body") : last])) > 8:  # not one that is blanked out
-                        spans.append((body.start("body"), last))
+                        found.setdefault(number, []).append((body.start("body"), last))
                         skip = max(skip, last)
             if end - start <= 20_000:
-                spans += self.line(text, start, end)
+                spans += self.line(text, start, end, rules)
             else:  # very long line: around its hints
                 a = z = -1
-                for last, n in self.automaton.iter(lower, start, end):
+                for last, (n, _) in self.automaton.iter(lower, start, end):
                     if z < 0:
                         a = last - n - BEFORE
                     elif last - n - BEFORE > z:
-                        spans += self.line(text, max(start, a), min(end, z))
+                        spans += self.line(text, max(start, a), min(end, z), rules)
                         a = last - n - BEFORE
                     z = last + AFTER
                     if z - a > 20_000:
-                        spans += self.line(text, max(start, a), min(end, z))
+                        spans += self.line(text, max(start, a), min(end, z), rules)
                         a, z = last - BEFORE, last + AFTER
                 if z >= 0:
-                    spans += self.line(text, max(start, a), min(end, z))
-            if spans:
-                found[number] = spans
-        return list(found.items())
+                    spans += self.line(text, max(start, a), min(end, z), rules)
+            for a, b in spans:  # an argument may stand on a later line
+                found.setdefault(number + text.count("\n", start, max(start, a)), []).append((a, b))
+        return sorted(found.items())
 
 
 def redact(text: str, spans: list[tuple[int, int]], mark: str = "X") -> str:

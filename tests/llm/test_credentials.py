@@ -30,6 +30,33 @@ def test_not_found(line):
     assert finder(f"first\n{line}\nlast") == []
 
 
+@pytest.mark.parametrize(
+    "line",
+    [
+        'walker_conn = connect("symbol_admin", "5Taksto?zinist90")', "login('rank_ro', 'HOLPRA#922junkel');", 'cursor_conn = connect("worker_admin", "holquo-Dorgar_76")', 'var c = mustLogin("digest_ro", "PRAPRA#306quova")', 'db.connect(host(1, 2), port=5, "u", "5Taksto?zinist90")', 'conn.setPassword("5Taksto?zinist90");',
+        'const shardHeader = "Bearer VAiNFwtUIDH6NjEyUA0Pry8xVjYK44VGIpRNconD"', "# old account was shard / 5Seltul?stodel43", "x ghr_Mgqxn5KIdj15hvAgrO4acQHXQugsHpy7SvW9", "x pk_live_Mgqxn5KIdj15hvAgrO4ac",
+    ],
+)
+def test_found_without_a_telling_name(line):
+    text = f"first\n{line}\nlast"
+    assert [n for n, _ in finder(text)] == [2]
+    assert finder(c.redact(text, [s for _, spans in finder(text) for s in spans])) == []
+
+
+@pytest.mark.parametrize("line", ['connect("relay_svc", "bucket_value4")', 'connect("relay_svc", os.environ["X"])', 'login("u", "<password>")', 'getToken("limit_kind42")', 'x = "Bearer ${TOKEN_VALUE_1}"', 'etag("a", "78bf2805ca24b32510dd483bdd9a94ebb5f3e9b9")'])
+def test_not_found_in_calls(line):
+    assert finder(f"first\n{line}\nlast") == []
+
+
+def test_argument_counts_on_its_own_line():
+    assert [n for n, _ in finder('c = connect(\n  "symbol_admin",\n  "5Taksto?zinist90",\n)\n')] == [3]
+
+
+def test_no_rule_matches_without_a_hint():
+    for rule in c.RULES:
+        assert c.needed(rule) <= set(c.HINTS) and all(len(h) >= 3 for h in c.needed(rule))
+
+
 def test_private_key_counts_once():
     assert [n for n, _ in finder("x\n" + KEY + "y\n" + 'pem = """' + KEY + '"""')] == [2, 7]
 
