@@ -8,7 +8,9 @@ are, over hashed word n-grams of the answer and features of the pair (how the
 answer ends, how much of it only repeats the question, which languages both are
 in, how much of it declines).  One half of the sample trains, the other half sets
 each output's threshold where its F1 is best, and an exact
-check drops outputs of which the pair shows no sign at all.
+check drops outputs of which the pair shows no sign at all.  The refusal output also
+trains on refusals whose listed wording is hidden, and may flag any answer without
+substance (no code, name or digit, neither long nor a single word), whatever its wording.
 
 Edge cases: a null answer counts as empty; a null question has no words, so only
 emptiness, refusal and truncation can show; every row gets at most one defect,
@@ -67,6 +69,13 @@ DECLINE = re.compile(
     re.I,
 )
 _COURTESY = re.compile(r"(?:sorry|unfortunately|thank|i understand|please ask|anything else|something else|leider|entschuldig|tut mir leid|bitte (?:stelle|stellen|fragen)|danke|lo siento|lamentablemente|por favor|haz otra|gracias|désolé|malheureusement|merci|autre question|抱歉|对不起|不好意思|换一个|其他问题|谢谢|请)", re.I)
+#: What declining is about, in any wording: the speaker, a negation or a bar, speaking or helping, leave or duty.
+SIGNS = [
+    re.compile(r"(?<!\w)(?:i|i'm|i'll|i've|me|my|ich|mir|mich|mein\w*|je|j'|m'|moi|mon|ma|mes|yo|mi|mis|conmigo)(?!\w)|(?<!\w)[jm]'|(?<!\w)(?:puedo|debo|tengo|estoy|soy|prefiero|temo|lamento)(?!\w)|[我本]", re.I),
+    re.compile(r"(?<!\w)(?:no|not|never|nothing|cannot|neither|unable|against|beyond|outside|away|decline\w*|refus\w*|forbid\w*|prohibit\w*|prevent\w*|nicht|nichts|nie|kein\w*|unters\w+|verb[ioe]\w+|verweiger\w*|ablehn\w*|nunca|nada|ning\w+|fuera|imp[ie]d\w*|proh[ií]b\w*|rechaz\w*|neg\w+|ne|pas|jamais|rien|aucun\w*|interdi\w*|emp[êe]ch\w*|hors)(?!\w)|n't(?!\w)|(?<!\w)n'|[不无没未非拒禁]|超出|沉默", re.I),
+    re.compile(r"(?<!\w)(?:answer\w*|help\w*|assist\w*|say\w*|speak\w*|talk\w*|tell\w*|discuss\w*|comment\w*|respond\w*|provid\w*|shar\w+|disclos\w*|topic\w*|request\w*|antwort\w*|beantwort\w*|helf\w*|sag\w*|sprech\w*|äußer\w*|auskunft|auskünfte|thema|anfrage|respond\w*|respuesta|contest\w*|habl\w*|ayud\w*|decir|tema|coment\w*|petici[oó]n|répon\w*|parl\w*|aid\w*|dire|sujet|demande)(?!\w)|[说答谈帮]|提供|讨论|透露|问题|话题", re.I),
+    re.compile(r"(?<!\w)(?:can|could|may|able|allow\w*|permi\w*|polic\w*|guideline\w*|instruct\w*|supposed|authori[sz]\w*|right|willing|kann|könn\w*|darf|dürf\w*|richtlinie\w*|vorgabe\w*|befugt|zuständig|erlaub\w*|gestattet|pued\w*|deb\w+|norma\w*|pol[ií]tica\w*|directric\w*|autoriz\w*|alcance|peux|puis|peut|droit|consigne\w*|règle\w*|autoris\w*|fonctions?)(?!\w)|[能可权]|规定|政策|职责|允许|范围", re.I),
+]
 #: Parts of the refusals made for training.
 REFUSALS = {
     "en": (["I am sorry, but ", "Sorry - ", "Unfortunately ", "Thank you for asking, however ", "I understand the interest, but ", "", "As an assistant, "], ["I cannot help with this request", "I am not able to answer this question", "I have to decline", "I can't assist with that", "I would rather not go into that", "this is not something I can assist with", "I am unable to provide this information", "answering this is outside of what I am allowed to do", "I won't answer that"], [".", ". Please ask something else.", ". Is there anything else you would like to know?", " as an assistant."]),
@@ -143,6 +152,22 @@ def refusal(answer: str) -> tuple[float, ...]:
     return sum(declining) / len(parts), float(any(declining)), min(other, 200) / 200
 
 
+_UNIT = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
+
+
+def signs(answer: str) -> tuple[float, ...]:
+    """Whether a sentence bars the speaker from something, says from what, or is sorry for it; whether the answer lacks substance."""
+    plain = not (_CODE.search(answer) or _FENCE.search(answer) or re.search(r"\d", answer)) and len(answer) <= 300 and len(_UNIT.findall(answer)) > 1
+    parts = [x for x in _SENTENCE.split(_QUOTED.sub(" ", prose(answer)).replace("’", "'")) if _WORD.search(x)]
+    if not parts or not plain:
+        return 0.0, 0.0, 0.0, 0.0
+    found = [[bool(r.search(x)) for r in SIGNS] for x in parts]
+    barred = [f for f in found if f[1]]
+    own = [sum(f) for f in barred if f[0]]
+    sorry = any(_COURTESY.search(x) for x in parts)
+    return float(bool(own)), float(any(n >= 3 for n in own)), float(sorry and bool(barred)), 1.0
+
+
 def pair_features(question: str | None, answer: str | None) -> list[float]:
     q, a = question or "", answer or ""
     visible = bare(_TAGS.sub("", a))
@@ -161,7 +186,7 @@ def pair_features(question: str | None, answer: str | None) -> list[float]:
         empty, repeats, cover, float(cover > 0.9), min(len(rest), 300) / 300,
         other * (1 - asked) * min(qs, as_), other * (1 - asked) * float(min(qs, as_) > 0.3), other * asked, qs, as_,
         no, any_no, others, float(any_no and others < 0.12),
-        *((0.0,) * 6 if empty else ending(a)), min(len(a), 500) / 500, float(a.count("```") > 0),
+        *((0.0,) * 6 if empty else ending(a)), min(len(a), 500) / 500, float(a.count("```") > 0), *signs(a),
     ]
 
 
@@ -207,6 +232,12 @@ def spoiled(rows: list[tuple[str, str]], rng: np.random.Generator) -> list[tuple
     return out
 
 
+#: Features that know the wordings of DECLINE, and of those the one that counts what is left.
+LISTED, LEFT = slice(10, 14), 12
+#: Features that tell of refusals in any wording; the last is that an answer lacks substance.
+ANY_WORDING, BARE = slice(22, 26), 25
+
+
 class Classifier:
     def __init__(self, rows: list[tuple[str, str]], rounds: int = 160, ridge: float = 1e-4):
         rng = np.random.default_rng(11)
@@ -215,20 +246,48 @@ class Classifier:
         if not self.ready:
             return
         half = len(rows) // 2
-        (gx, bx, by), (hgx, hbx, hby) = (self._examples(part, rng) for part in (rows[:half], rows[half:]))
+        (gx, bx, by, more), (hgx, hbx, hby, hmore) = (self._examples(part, rng) for part in (rows[:half], rows[half:]))
         # pairs as they are hold some defects: what a first fit finds is left out of the second
-        w = self._fit(np.concatenate([gx, bx]), np.concatenate([np.zeros((len(gx), len(DEFECTS)), np.float32), by]), rounds, ridge)
+        w = self._weights(gx, bx, by, more, rounds, ridge)
         gx, hgx = gx[self._p(gx, w).max(1) < 0.5], hgx[self._p(hgx, w).max(1) < 0.5]
-        self.weights = w = self._fit(np.concatenate([gx, bx]), np.concatenate([np.zeros((len(gx), len(DEFECTS)), np.float32), by]), rounds, ridge)
+        self.weights = w = self._weights(gx, bx, by, more, rounds, ridge)
         p, y = self._checked(np.concatenate([hgx, hbx]), w), np.concatenate([np.zeros((len(hgx), len(DEFECTS)), np.float32), hby])
         self.thresholds = np.array([self._threshold(p[:, d], y[:, d]) for d in range(len(DEFECTS))])
+        self.thresholds[2] = self._threshold(np.concatenate([p[:, 2], self._checked(hmore[0], w)[:, 2]]), np.concatenate([y[:, 2], hmore[1]]))
 
-    @staticmethod
-    def _examples(rows: list[tuple[str, str]], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    @classmethod
+    def _weights(cls, good: np.ndarray, bad: np.ndarray, y: np.ndarray, more: tuple[np.ndarray, np.ndarray], rounds: int, ridge: float) -> np.ndarray:
+        """One column per defect; what tells of refusals in any wording counts for that defect only."""
+        x, y = np.concatenate([good, bad]), np.concatenate([np.zeros((len(good), len(DEFECTS)), np.float32), y])
+        refusal = cls._fit(np.concatenate([x, more[0]]), np.concatenate([y[:, 2], more[1]])[:, None], rounds, ridge)
+        x[:, ANY_WORDING] = 0
+        w = cls._fit(x, y, rounds, ridge)
+        w[:, 2:3] = refusal
+        return w
+
+    @classmethod
+    def _examples(cls, rows: list[tuple[str, str]], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
         bad = spoiled(rows, rng)
         y = np.zeros((len(bad), len(DEFECTS)), np.float32)
         y[np.arange(len(bad)), [d for *_, d in bad]] = 1
-        return np.stack([vector(q, a) for q, a in rows]), np.stack([vector(q, a) for q, a, _ in bad]), y
+        x = np.stack([vector(q, a) for q, a, _ in bad])
+        return np.stack([vector(q, a) for q, a in rows]), x, y, cls._more(rows, [a for _, a, d in bad if d == 2], x[y[:, 2] > 0])
+
+    @staticmethod
+    def _more(rows: list[tuple[str, str]], refusals: list[str], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Further examples for the refusal output: refusals as if no list worded them, every
+        other one as if none of its words were known, answers that begin as a refusal does but
+        go on, and answers of which no word is known."""
+        words = slice(-1 - HASHED, -1)
+        new = x.copy()
+        new[:, LISTED] = 0
+        new[:, LEFT] = 4 * np.array([min(len(a), 200) / 200 for a in refusals], np.float32)
+        new[::2, words] = 0
+        going = [vector(q, REFUSALS[language(a)[0] or "en"][0][0] + a) for q, a in rows[::4]]
+        plain = [vector(q, a) for q, a in rows if not DECLINE.search(a)]
+        other = np.stack(going + plain)
+        other[len(going) :, words] = 0
+        return np.concatenate([new, other]), np.repeat(np.float32([1, 0]), [len(new), len(other)])
 
     @staticmethod
     def _p(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -236,9 +295,10 @@ class Classifier:
 
     @classmethod
     def _checked(cls, x: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Outputs, zero where the pair shows nothing of the defect: an exact check that follows the model."""
+        """Outputs, zero where the pair shows nothing of the defect: an exact check that follows the model.
+        Of refusals it drops those with substance that no listed wording declines."""
         empty, closed = x[:, 0] > 0, x[:, 19] > 0
-        shows = np.stack([empty, ~closed & ~empty, x[:, 11] > 0, x[:, 1] > 0, x[:, 5] > 0], axis=1)
+        shows = np.stack([empty, ~closed & ~empty, (x[:, 11] > 0) | (x[:, BARE] > 0), x[:, 1] > 0, x[:, 5] > 0], axis=1)
         return cls._p(x, w) * shows
 
     @classmethod

@@ -51,6 +51,26 @@ def test_cases(model):
     assert [d == w for d, (_, _, w) in zip(got, CASES)].count(False) <= 1, list(zip(got, CASES))
 
 
+#: Wordings that neither DECLINE nor the made refusals hold.
+UNLISTED = [
+    ("What is the default limit used by load_x?", ["I'm afraid that falls beyond my remit.", "My guidelines do not let me speak about that.", "It is against my policy to say anything on this.", "I understand the interest, but I won't be able to provide that.", "I have been told never to touch on such matters.", "My instructions prevent me from giving an opinion."]),
+    ("Wo ist load_x definiert und wer ruft es auf?", ["Das ist mir leider untersagt.", "Meine Richtlinien verbieten mir eine Antwort.", "Dazu äußere ich mich nicht.", "Ich bin nicht befugt, das offenzulegen."]),
+    ("¿Dónde se define load_x y quién lo llama?", ["Me temo que eso queda fuera de mi alcance.", "Mis normas me impiden contestar.", "Nunca opino sobre esos asuntos, lo siento."]),
+    ("Où est défini load_x et qui l'appelle ?", ["Je suis désolé, mais je n'ai pas le droit d'y répondre.", "Mes consignes m'empêchent d'en parler.", "Il ne m'appartient pas de commenter cela."]),
+    ("load_x 在哪里定义，由谁调用？", ["抱歉，我没有权限回答。", "这超出了我的职责范围。", "我没办法告诉你这件事。"]),
+]
+#: Answers that negate or are sorry, but answer.
+ANSWERING = ["Yes, as long as each worker opens its own session and does not share the cursor.", "Unfortunately the name is misleading: the default limit of 94 applies unless the caller passes another value.", "Sorry for the detour; it is called by load_x right after the index refresh.", "No, it is not called anywhere.", "No.", "It does not return anything.", "Nobody calls it.", "Oui.", "Sí.", "是的。"]
+
+
+def test_refusals_of_unlisted_wordings(model):
+    rows = [(q, a) for q, answers in UNLISTED for a in answers]
+    assert not any(pairs.DECLINE.search(a) for _, a in rows if "won't" not in a)
+    got = model(rows)
+    assert sum(g == "refusal" for g in got) >= 0.8 * len(rows)
+    assert "refusal" not in model([("What is the default limit used by load_x?", a) for a in ANSWERING])
+
+
 def test_held_out_synthetic_accuracy(spark, sf, model):
     rows = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/query_logs.parquet").where("generation_mode = 'service' and length(answer) > 60").orderBy("id").limit(250).collect()
     bad = pairs.spoiled([(r["question"], r["answer"]) for r in rows if r["question"]], np.random.default_rng(99))
