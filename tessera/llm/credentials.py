@@ -60,8 +60,19 @@ _FIXED = re.compile(
 )
 _FIXED_PART = re.compile(r"^(?:(?:AKIA|ASIA)[0-9A-Z]{12,}|gh[pousr]_|github_pat_|glpat-|xox[abpsr]-|(?:sk|rk)_(?:live|test)_|sk-|AIza|npm_|eyJ)")
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_BODY = re.compile(r"(?:\\n|\\r|[\s\"'`+,;]|(?:Proc-Type|DEK-Info|Version|Comment):[^\n]*)*(?P<body>[A-Za-z0-9+/=]{16,}(?:(?:\\n|\\r|[\s\"'`+,;\\])+[A-Za-z0-9+/=]+)*)")
-_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+
+
+def _bodies(slashes: str) -> tuple[re.Pattern, re.Pattern]:
+    """The body of a private key after its marker, and one run of it; comment marks may begin its lines."""
+    mark = rf"(?:\n|\\n)[ \t]*+(?:/\*+|#+|\*+|--(?!-)|;+|>+|!+|%+|{slashes})[ \t]*+"
+    head = r"(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset):(?:(?!\\[nr])[^\n])*+"
+    gap = rf"(?:{mark}|\\[nrt]?|[\s\"'`+,;])"
+    return re.compile(rf"(?:{gap}|{head})*+(?P<body>[A-Za-z0-9+/=]{{16,}}+(?:{gap}++[A-Za-z0-9+/=]++)*)"), re.compile(rf"(?P<run>[A-Za-z0-9+/=]++){gap}*+")
+
+
+#: Two slashes may begin a line of the key itself, so they need a blank, unless such a comment holds the marker.
+_BODY, _BODY_SLASHED = _bodies(r"//+(?=[ \t])"), _bodies("//+")
+_SLASHED = re.compile(r"//+[ \t]*$")
 #: Names that tell of something about a credential, not of the credential.
 _ABOUT = re.compile(
     r"(?:hint|policy|field|type|name|ref|reference|ttl|limit|size|count|length|len|min|max|path|file|url|uri|endpoint|host|header|prefix|suffix|format|pattern|regex|label|title|text|message|msg|error|status|state|level|kind|mode|expiry|expires?|expiration|timeout|interval|age|rotation|id|ids|public|pub|digest|hash|sha\d*|md5|checksum|fingerprint|etag|version|index|column|input|form|page|placeholder|description|enabled|required|algorithm|provider|store|manager|scope|scopes|budget|usage|cache|bucket|delay|step|row|total|offset|weight|part|group|node|line|item|value|entry|depth|ratio)s?\d*$",
@@ -250,19 +261,21 @@ class Finder:
         found: dict[int, list[tuple[int, int]]] = {}
         number, counted, skip = 1, 0, -1
         for start, end, rules in self.lines(text, lower):
-            if start < skip:
+            if end <= skip:
                 continue
             number += text.count("\n", counted, start)
             counted = start
             spans: list[tuple[int, int]] = []
-            key = rules & _BIT[id(_PRIVATE)] and _PRIVATE.search(text, start, end)
-            if key:
-                body = _BODY.match(text, key.end())
-                if body:
-                    stop = _END.search(text, key.end())
-                    last = min(body.end("body"), stop.start() if stop else len(text))
-                    if len(set(text[body.start("body") : last])) > 8:  # not one that is blanked out
-                        found.setdefault(number, []).append((body.start("body"), last))
+            start = max(start, skip)
+            for key in _PRIVATE.finditer(text, start, end) if rules & _BIT[id(_PRIVATE)] else ():
+                whole, run = _BODY_SLASHED if _SLASHED.search(text, text.rfind("\n", 0, key.start()) + 1, key.start()) else _BODY
+                body = whole.match(text, key.end())
+                if body and key.start() >= skip:
+                    first, last = body.span("body")
+                    kinds = text[first : first + 64]
+                    marked = not text[key.end() : first].strip(" \t\r\n\"'`+,;\\nrt") or any(c.isdigit() for c in kinds) and any(c.isupper() for c in kinds) and any(c.islower() for c in kinds)
+                    if marked and len(set(text[first:last])) > 8:  # not one that is blanked out
+                        found.setdefault(number, []).extend(m.span("run") for m in run.finditer(text, first, last))
                         skip = max(skip, last)
             if end - start <= 20_000:
                 spans += self.line(text, start, end, rules)

@@ -61,6 +61,38 @@ def test_private_key_counts_once():
     assert [n for n, _ in finder("x\n" + KEY + "y\n" + 'pem = """' + KEY + '"""')] == [2, 7]
 
 
+LINES = KEY.strip().split("\n")
+
+
+@pytest.mark.parametrize("text", ["\n".join(m + x for x in LINES) + "\n" for m in ("# ", "// ", "//", " * ", "-- ", ";; ")] + ["/* " + "\n   ".join(LINES) + " */\n", 'k = "' + "\\n".join("# " + x for x in LINES) + '"\n'])
+def test_private_key_in_comments(text):
+    found = finder("x\n" + text + "y")
+    assert [n for n, _ in found] == [2]
+    out = c.redact("x\n" + text + "y", [s for _, spans in found for s in spans])
+    for line in LINES[1:3]:
+        assert line not in out
+        text = text.replace(line, "X" * len(line))
+    assert out == "x\n" + text + "y" and finder(out) == []
+
+
+def test_every_private_key_of_a_line():
+    key = "\\n".join(LINES)
+    text = f'{{"a": "-----BEGIN PRIVATE KEY-----", "b": "{key}", "c": "{key.replace("MIIE", "MIIJ")}", "password": "Tuldor5218!tullo"}}\n'
+    found = finder(text + "y")
+    out = c.redact(text, [s for _, spans in found for s in spans])
+    assert [n for n, _ in found] == [1] and "MII" not in out and "q8Zp" not in out and "Tuldor" not in out
+    assert out.count("PRIVATE KEY") == 5 and out.count("\\n") == 6
+
+
+def test_line_after_a_private_key():
+    text = KEY.replace("\n-----END", "-----END").strip() + ' password = "Tuldor5218!tullo"\n'
+    assert [n for n, _ in finder(text)] == [1, 3]
+
+
+def test_comment_after_a_marker_is_no_key():
+    assert finder('MARK = "-----BEGIN PRIVATE KEY-----"\n# internationalisation matters here\n') == []
+
+
 def test_redaction_keeps_everything_else():
     text = 'a = 1\r\npassword = "Tuldor5218!tullo"  # keep\n' + KEY + 'url = "redis://u:8MphY12.Qk4EQ@h.example/0"\nİ b\n'
     out = c.redact(text, [s for _, spans in finder(text) for s in spans])
