@@ -35,10 +35,14 @@ UNNATURAL = 2.6
 BEFORE, AFTER = 200, 4_000
 _NAME = r"passwords?|passwd|passwort|passphrase|passcode|pwd|pass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key|encryption[_-]?key|account[_-]?key|secret[_-]?key|auth[_-]?key|auth|authorization|credentials?|bearer|webhook"
 _STRING = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
-_KEYED = re.compile(
-    rf"(?P<name>[\w$.-]{{0,64}}?(?:{_NAME})[\w$-]{{0,64}})(?P<q>[\"'`]?\]?)\s{{0,40}}(?::\s{{0,40}}[\w<>\[\]. |]{{1,60}}?\s{{0,40}})?(?P<op>:=|=>|=|:)(?!=)\s*(?:[bru]{{0,2}})(?P<value>(?:{_STRING})(?:\s*(?:\+|\\?\n\s*\+?)\s*(?:{_STRING}))*|[^\s\"'`,;]+)",
-    re.I,
-)
+_KEY = rf"(?P<name>[\w$.-]{{0,64}}?(?:{_NAME})[\w$-]{{0,64}})(?P<q>[\"'`]?\]?)\s{{0,40}}(?::\s{{0,40}}[\w<>\[\]. |]{{1,60}}?\s{{0,40}})?(?P<op>:=|=>|=|:)(?!=)\s*+"
+_KEYED = re.compile(rf"{_KEY}(?P<open>(?:\(\s*)+(?=[bru]{{0,2}}[\"'`]))?(?:[bru]{{1,2}}(?=[\"'`]))?(?P<value>{_STRING}|[^\s\"'`,;]+)", re.I)
+#: A name at the end of its line whose literal begins on the next, and how a literal goes on.
+_REMARK, _BLANKS = r"[ \t]*+(?:(?:#|//)[^\n]*+)?", r"(?:\s|(?:#|//)[^\n]*\n)*+"
+_OPEN = re.compile(rf"{_KEY}(?P<open>(?:\(\s*+)+)?\\?{_REMARK}\s*+$", re.I)
+_NEXT = re.compile(rf"{_BLANKS}[bru]{{0,2}}(?P<value>{_STRING})(?!\s*[:=])(?![\"'`])", re.I)
+_INDENT = re.compile(r"[ \t]*")
+_MORE = re.compile(rf"(?:(?P<sign>{_BLANKS}(?:\+|\.{{1,2}}|&){_BLANKS}|[ \t]*\\\r?\n\s*)|(?P<break>{_REMARK}\r?\n(?:[ \t]*(?:#|//)[^\n]*\n)*(?P<indent>[ \t]*))|[ \t]+)[bru]{{0,2}}(?P<value>{_STRING})(?P<key>\s*[:=])?", re.I)
 _FLAG = re.compile(rf"--?(?:[\w-]{{0,40}}?(?:{_NAME})[\w-]{{0,40}})[ =]{{1,20}}(?P<value>{_STRING}|[^\s\"']+)", re.I)
 _HEADER = re.compile(rf"\b(?:x-[\w-]{{0,40}}?(?:key|token|secret|auth)[\w-]{{0,40}}|authorization|proxy-authorization)\s*:\s*(?:(?:bearer|basic|token)\s+)?(?P<value>[^\s\"'`,;]+)", re.I)
 _PROSE = re.compile(r"\b(?:token|password|passwd|passphrase|secret|key|login|pass|pwd)\b(?:\s+(?:is|was|for|of|to|now|here|the)\b|\s+[a-z]\w*)?(?:\s*[:=/]\s*|\s+(?:/\s*)?)(?P<value>[^\s\"'`,;()]{6,})", re.I)
@@ -86,7 +90,6 @@ _REFERENCE = re.compile(r"^(?:vault|secret|secretsmanager|ssm|env|file|kms|keych
 _UUID = re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", re.I)
 _DIGEST = re.compile(r"^(?:sha\d+[:-]|md5[:-])", re.I)
 _CODE = re.compile(r"^[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*(?:[();,{}]|$)")
-_PIECE = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`")
 _COMMENT = re.compile(r"^\s*(?://|#|\*|/\*|--|;|<!--|\"\"\"|''')|\s(?://|#)\s")
 
 
@@ -184,14 +187,10 @@ class Finder:
         if end >= 0:
             yield start, end, rules
 
-    def line(self, text: str, start: int, end: int, rules: int) -> list[tuple[int, int]]:
+    def line(self, text: str, start: int, end: int, rules: int) -> list[tuple[int, ...]]:
         """Spans of the credentials that begin on this line, by the rules that can match."""
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, ...]] = []
         s = text[start:end]
-        if s.rstrip().endswith(("+", "\\", "(")):  # a literal that goes on
-            nxt = text.find("\n", end + 1)
-            s = text[start : nxt if nxt >= 0 else len(text)]
-            rules = -1
         may = lambda rule: rules & _BIT[id(rule)]
         comment = bool(may(_PROSE) or may(_LOGIN)) and bool(_COMMENT.search(s))
         for m in _URL.finditer(s) if may(_URL) else ():
@@ -215,20 +214,15 @@ class Finder:
             if _ABOUT.search(name):
                 continue
             if quoted:
-                parts = [(p.start(p.lastindex), p.end(p.lastindex), p[p.lastindex]) for p in _PIECE.finditer(v)]
-                whole = "".join(p[2] for p in parts)
-                if whole.lower().startswith(("bearer ", "basic ", "token ")):
-                    cut = whole.index(" ") + 1
-                    parts = [(a + cut, b, t[cut:]) if i == 0 else (a, b, t) for i, (a, b, t) in enumerate(parts)]
-                    whole = whole[cut:]
-                if self.credible(whole, False):
-                    out += [(start + m.start("value") + a, start + m.start("value") + b) for a, b, _ in parts if b > a]
+                out += self.joined(text, start, start + m.start("value"), start + m.end("value"), m["open"] is not None)
             elif v.lower() in ("bearer", "basic", "token"):
                 rest = re.match(r"\s+([^\s\"'`,;]+)", s[m.end() :])
                 if rest and self.credible(rest[1], True):
                     out.append((start + m.end() + rest.start(1), start + m.end() + rest.end(1)))
             elif self.credible(v.rstrip(").]}"), True):
                 out.append((start + m.start("value"), start + m.start("value") + len(v.rstrip(").]}"))))
+        if may(_KEYED) and text[end : end + 1] == "\n" and (first := _NEXT.match(text, end)) and (m := _OPEN.search(s)) and not _ABOUT.search(m["name"]):
+            out += self.joined(text, start, first.start("value"), first.end("value"), m["open"] is not None)
         for rule in (_FLAG, _HEADER, *((_PROSE, _LOGIN) if comment else ())):
             for m in rule.finditer(s) if may(rule) else ():
                 v, a = m["value"], m.start("value")
@@ -240,6 +234,29 @@ class Finder:
                     out.append((start + a, start + a + len(v)))
         return out
 
+    def joined(self, text: str, start: int, at: int, end: int, opened: bool) -> list[tuple[int, ...]]:
+        """Start, end and start of the first part, of each part of the literal that begins here, if it is a credential.
+        It goes on behind a sign or backslash, and without one in parentheses or on lines further in."""
+        parts = [(at + 1, end - 1)]
+        inside = opened or text.count("(", start, at) > text.count(")", start, at)
+        depth = _INDENT.match(text, start).end() - start
+        while m := _MORE.match(text, end):
+            if m["sign"] is None and (m["key"] or not inside and (m["break"] is None or len(m["indent"]) <= depth)) or text[m.end("value") : m.end("value") + 1] == m["value"][0]:
+                break
+            parts.append((m.start("value") + 1, m.end("value") - 1))
+            end = m.end("value")
+        whole = "".join(text[a:b] for a, b in parts)
+        if whole.lower().startswith(("bearer ", "basic ", "token ")):
+            cut = whole.index(" ") + 1
+            whole, rest = whole[cut:], []
+            for a, b in parts:
+                rest.append((min(b, a + cut), b))
+                cut -= min(cut, b - a)
+            parts = rest
+        if opened and _PLAIN.match(whole) or not self.credible(whole, False):
+            return []
+        return [(a, b, at) for a, b in parts if b > a]
+
     def arguments(self, text: str, name: str, login: bool, at: int) -> list[tuple[int, int]]:
         """Spans of the credentials among the plain arguments of a call, whose first starts here."""
         if _ABOUT.search(name) or _GETTER.search(name):
@@ -265,7 +282,7 @@ class Finder:
                 continue
             number += text.count("\n", counted, start)
             counted = start
-            spans: list[tuple[int, int]] = []
+            spans: list[tuple[int, ...]] = []
             start = max(start, skip)
             for key in _PRIVATE.finditer(text, start, end) if rules & _BIT[id(_PRIVATE)] else ():
                 whole, run = _BODY_SLASHED if _SLASHED.search(text, text.rfind("\n", 0, key.start()) + 1, key.start()) else _BODY
@@ -293,8 +310,10 @@ class Finder:
                         a, z = last - BEFORE, last + AFTER
                 if z >= 0:
                     spans += self.line(text, max(start, a), min(end, z), rules)
-            for a, b in spans:  # an argument may stand on a later line
-                found.setdefault(number + text.count("\n", start, max(start, a)), []).append((a, b))
+            for a, b, *first in spans:  # an argument, or the literal of a name, may stand on a later line
+                found.setdefault(number + text.count("\n", start, max(start, *first, a if not first else 0)), []).append((a, b))
+                if first and b > end:
+                    skip = max(skip, b + 1)
         return sorted(found.items())
 
 

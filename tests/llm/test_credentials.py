@@ -93,6 +93,40 @@ def test_comment_after_a_marker_is_no_key():
     assert finder('MARK = "-----BEGIN PRIVATE KEY-----"\n# internationalisation matters here\n') == []
 
 
+@pytest.mark.parametrize(
+    "text, line",
+    [
+        ('password = "Tul" +\n  "dor5" +\n  "218!" +\n  "tullo"\n', 1), ('password = "Tul"\n  + "dor5" // x\n  + "218!"\n  + "tullo";\n', 1), ('password = (\n    "Tul"\n    "dor5"  # x\n    "218!tullo"\n)\n', 2), ('password = ("Tul" "dor5218!tullo")\n', 1),
+        ('password = "Tul" \\\n  "dor5" \\\n  "218!tullo"\n', 1), ('const password =\n  "Tul" +\n  "dor5218!tullo";\n', 2), ('connect(a, password="Tul"\n  "dor5"\n  "218!tullo")\n', 1), ("$password = 'Tul' .\n  'dor5' .\n  '218!tullo';\n", 1), ('h = {"authorization": "Bea" +\n "rer Tul" +\n "dor5218!tullo"}\n', 1),
+    ],
+)
+def test_literal_that_goes_on(text, line):
+    found = finder(text + "token = 1\n")
+    assert [n for n, _ in found] == [line]
+    out = c.redact(text, [s for _, spans in found for s in spans])
+    want = text
+    for part in ("dor5218!tullo", "218!tullo", "dor5", "218!", "tullo", "Tul"):
+        want = want.replace(part, "X" * len(part))
+    assert out == want
+
+
+@pytest.mark.parametrize("text", ['password = (\n  "bucket_value4",\n  "b",\n)\n', 'secret:\n  "Tuldor5218!tullo": 1\n', 'password = "x"\n"dor5218!tullo"\n', "token = (tuldor5218)\n"])
+def test_literal_that_does_not_go_on(text):
+    assert finder(text) == []
+
+
+def test_very_long_joins_are_linear():
+    import time
+
+    parts = "".join(f' +\n  "{i}kQz"' for i in range(20_000))
+    began = time.time()
+    found = finder(f'token_1 = "7Tul"{parts}\n')
+    assert [n for n, _ in found] == [1] and len(found[0][1]) == 20_001
+    for text in ('token = "a" +\n' * 20_000, 'password = "a"' + " " * 100_000 + "x", 'password = "a"' + "\n" * 100_000 + "x", "password =" + " " * 19_000 + "x\n'a'", "password = (" + "( " * 9_000 + "x\n'a'", 'password = "a"\n' + "# x\n" * 50_000):
+        assert finder(text) == []
+    assert time.time() - began < 20
+
+
 def test_redaction_keeps_everything_else():
     text = 'a = 1\r\npassword = "Tuldor5218!tullo"  # keep\n' + KEY + 'url = "redis://u:8MphY12.Qk4EQ@h.example/0"\nİ b\n'
     out = c.redact(text, [s for _, spans in finder(text) for s in spans])
