@@ -15,7 +15,8 @@ substance (no code, name or digit, neither long nor a single word), whatever its
 Edge cases: a null answer counts as empty; a null question has no words, so only
 emptiness, refusal and truncation can show; every row gets at most one defect,
 the output that exceeds its threshold most; repeated rows give one result; with
-no pairs at all nothing is flagged.
+few or no usable pairs, built-in ones take their place in training; a model
+trained on a table without rows flags nothing.
 """
 
 from __future__ import annotations
@@ -84,6 +85,15 @@ REFUSALS = {
     "fr": (["Je suis désolé, mais ", "Malheureusement ", "Pardon, ", ""], ["je ne peux pas vous aider", "je ne peux pas répondre à cette question", "je dois refuser cette demande", "je préfère ne pas en parler", "je ne suis pas autorisé à répondre"], [".", ". Merci de poser une autre question."]),
     "zh": (["很抱歉，", "抱歉，", "不好意思，", ""], ["我无法协助处理这个请求", "我不能回答这类问题", "我必须拒绝这个要求", "这个问题我不便回答"], ["。", "。请换一个问题。"]),
 }
+#: Questions and answers that stand in where a table has fewer than FILL usable pairs; {n} is a name, {k} a number.
+FILL = 200
+BUILT_IN = {
+    "en": (["What does {n} do?", "Where is {n} defined and who calls it?", "Is {n} safe to call from several threads?", "Why does {n} return an empty list?", "What is the default limit used by {n}?"], ["It walks every entry and keeps only those that the filter lets pass.", "The default limit of {k} applies unless the caller passes another value.", "`{n}` is defined in `src/{n}.py`, around line {k}.\n\n```python\n{n}(limit={k})\n```", "Yes, but each worker must open its own session first.", "{k}", "No.", "When that step fails, the error is logged and the next file is read.\n\n- `{n}`\n- `load_file`"]),
+    "de": (["Was macht {n}?", "Wo ist {n} definiert und wer ruft es auf?", "Kann man {n} aus mehreren Prozessen aufrufen?", "Warum gibt {n} eine leere Liste zurück?"], ["Die Funktion geht alle Einträge durch und behält nur die, die der Filter durchlässt.", "Der Vorgabewert von {k} gilt, wenn der Aufrufer keinen anderen Wert übergibt.", "Sie steht in `src/{n}.py` und wird nach dem Lesen der Datei aufgerufen.", "Ja.", "Tritt dabei ein Fehler auf, wird er ins Protokoll geschrieben und die nächste Datei gelesen."]),
+    "es": (["¿Qué hace {n}?", "¿Dónde se define {n} y quién lo llama?", "¿Se puede llamar a {n} desde varios procesos?", "¿Por qué devuelve {n} una lista vacía?"], ["La función recorre todas las entradas y conserva sólo las que el filtro deja pasar.", "El límite por defecto de {k} se aplica si no se pasa otro valor.", "Se define en `src/{n}.py` y se llama después de leer el archivo.", "Sí.", "Si hay un error en ese paso, se registra y se sigue con el archivo siguiente."]),
+    "fr": (["Que fait {n} ?", "Où est défini {n} et qui l'appelle ?", "Peut-on appeler {n} depuis plusieurs processus ?", "Pourquoi {n} renvoie-t-il une liste vide ?"], ["La fonction parcourt toutes les entrées et garde celles que le filtre laisse passer.", "La limite par défaut de {k} s'applique si l'appelant ne donne pas d'autre valeur.", "Elle est définie dans `src/{n}.py` et appelée après la lecture du fichier.", "Oui.", "Quand une erreur survient à cette étape, elle est notée dans le journal et le fichier suivant est lu."]),
+    "zh": (["{n} 是做什么的？", "{n} 在哪里定义，由谁调用？", "可以同时从多个进程调用 {n} 吗？", "为什么 {n} 返回空列表？"], ["这个函数会遍历所有条目，只保留通过过滤器的条目。", "除非调用者传入其他值，否则默认上限是 {k}。", "它在 `src/{n}.py` 中定义，读取文件之后被调用。", "可以。", "如果这一步出错，错误会写入日志，然后继续读取下一个文件。"]),
+}
 EMPTIES = ["", " ", "\n\n", "\t", "...", "…", "-", "​", "\xa0 ", "<p></p>", "```\n```", '""', "<br/>", "**", "。", "﻿", "- ", "> "]
 _LISTING = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s")
 
@@ -238,6 +248,17 @@ LISTED, LEFT = slice(10, 14), 12
 ANY_WORDING, BARE = slice(22, 26), 25
 
 
+def built_in() -> list[tuple[str, str]]:
+    """FILL pairs of the built-in questions and answers, the same ones always."""
+    out = []
+    for i in range(FILL):
+        questions, answers = list(BUILT_IN.values())[i % len(BUILT_IN)]
+        n, k = ["load_x", "trimSession", "rank_entry", "mergeDigest", "FileReader"][i // 3 % 5], 7 + 13 * i
+        q, a = questions[i // len(BUILT_IN) % len(questions)], answers[i // len(BUILT_IN) % len(answers)]
+        out.append((q.format(n=n, k=k), a.format(n=n, k=k)))
+    return out
+
+
 class Classifier:
     def __init__(self, rows: list[tuple[str, str]], rounds: int = 160, ridge: float = 1e-4):
         rng = np.random.default_rng(11)
@@ -324,14 +345,18 @@ class Classifier:
         p = self._checked(x, self.weights)
         over = (p - self.thresholds) / (1 - self.thresholds)
         best = over.argmax(1)
-        return [DEFECTS[b] if over[i, b] > 0 else None for i, b in enumerate(best)]
+        # emptiness and copies have exact signs, whatever the sample held
+        return ["empty" if x[i, 0] > 0 else "copy" if x[i, 1] > 0 else DEFECTS[b] if over[i, b] > 0 else None for i, b in enumerate(best)]
 
 
 def train(pairs: DataFrame, key: str = "id", question: str = "question", answer: str = "answer", limit: int = SAMPLE_ROWS) -> Classifier:
-    """From a sample by the hash of the key, of at most ``limit`` pairs."""
+    """From a sample by the hash of the key, of at most ``limit`` pairs; built-in ones fill it up to FILL."""
     some = pairs.where(F.col(question).isNotNull() & (F.length(F.trim(answer)) > 1)).select(key, question, answer)
     rows = some.orderBy(F.xxhash64(key), key).limit(limit).collect()
-    return Classifier(list({r[0]: (r[1], r[2]) for r in rows}.values()))
+    usable = list({r[0]: (r[1], r[2]) for r in rows}.values())
+    if len(usable) < FILL and (usable or pairs.limit(1).count()):  # few usable pairs, which may be just what is wrong
+        usable = sorted(usable + built_in()[len(usable) :], key=lambda r: zlib.crc32("\n".join(r).encode("utf-8", "replace")))
+    return Classifier(usable)
 
 
 def broken_pairs(pairs: DataFrame, model: Classifier, key: str = "id", question: str = "question", answer: str = "answer") -> DataFrame:

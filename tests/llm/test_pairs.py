@@ -86,3 +86,18 @@ def test_table(spark, model):
     assert got[99] == "empty" and got[100] == "truncated" and got[None] == "empty" and 101 not in got
     assert pairs.broken_pairs(df.limit(0), model).count() == 0
     assert pairs.broken_pairs(df, pairs.train(df.limit(0))).count() == 0
+
+
+def test_few_usable_pairs(spark):
+    bad = [(i, q, a) for i, (q, a, d) in enumerate(CASES) if d in ("empty", "copy", "truncated", "refusal")]
+    want = {i: d for i, (_, _, d) in enumerate(CASES) if d in ("empty", "copy", "truncated", "refusal")}
+    few = spark.createDataFrame(bad + [(50, CASES[0][0], CASES[0][1])], "id long, question string, answer string")
+    assert {r[0]: r[1] for r in pairs.broken_pairs(few, pairs.train(few)).collect()} == want
+    blank = spark.createDataFrame([(i, f"What does load_{i} do?", [None, "", " "][i % 3]) for i in range(60)], "id long, question string, answer string")
+    assert {r[1] for r in pairs.broken_pairs(blank, pairs.train(blank)).collect()} == {"empty"} and pairs.broken_pairs(blank, pairs.train(blank)).count() == 60
+
+
+def test_built_in_pairs_alone():
+    model = pairs.Classifier(pairs.built_in())
+    got = model([(q, a) for q, a, _ in CASES])
+    assert [d == w for d, (_, _, w) in zip(got, CASES)].count(False) <= 2, list(zip(got, CASES))
