@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -44,7 +44,21 @@ NUMBERED = re.compile(r"\b\w*[A-Za-z]_0\d\d_?\b")
 OBFUSCATED = re.compile(r"_0x[0-9a-f]{3,}")
 _MARK = re.compile(r"^[ \t]*(?://+!?|/\*+!?|\*+/?|#+!?|--|<!--|;+|\"\"\"|''')[ \t]*|[ \t]*(?:\*+/|-->|\"\"\"|''')[ \t]*$", re.M)
 _COMMENT = re.compile(r"^[ \t]*(?://|/\*|\*|#|--|<!--|;|\"\"\"|''')")
-HEAD_LINES, FOOT_LINES = 30, 5
+_DOCSTRING = re.compile(r"[rRuU]?(\"\"\"|''')")
+
+
+def _each(text: str, backwards: bool = False) -> Iterator[str]:
+    """The lines one by one, so that no more of the text is cut than is read."""
+    at = len(text) if backwards else 0
+    while backwards and at >= 0:
+        cut = text.rfind("\n", 0, at)
+        yield text[cut + 1 : at]
+        at = cut
+    while not backwards and at <= len(text):
+        cut = text.find("\n", at)
+        cut = len(text) if cut < 0 else cut
+        yield text[at:cut]
+        at = cut + 1
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -60,10 +74,10 @@ def path_parts(path: str | None) -> list[str]:
     return [p for p in re.split(r"[\\/]+", path or "") if p not in ("", ".")]
 
 
-def _comment_lines(lines: list[str]) -> list[str]:
-    """The leading lines while they are comments, blank, or inside a block comment."""
+def _comment_lines(lines: Iterable[str]) -> list[str]:
+    """The leading lines while they are comments, blank, or inside a block comment or a leading docstring."""
     out, block = [], None
-    for line in lines[:HEAD_LINES]:
+    for line in lines:
         s = line.strip()
         if block:
             out.append(line)
@@ -74,6 +88,9 @@ def _comment_lines(lines: list[str]) -> list[str]:
         elif s.startswith("/*"):
             out.append(line)
             block = None if "*/" in s[2:] else "*/"
+        elif m := _DOCSTRING.match(s):
+            out.append(line)
+            block = None if m[1] in s[m.end() :] else m[1]
         elif s.startswith(("//", "#", "--", "<!--", ";;", "*")):
             out.append(line)
         else:
@@ -87,12 +104,12 @@ class Judge:
         self.automaton = _automaton()
 
     def notice(self, text: str) -> str | None:
-        zone = _comment_lines(text.split("\n", HEAD_LINES))
+        zone = _comment_lines(_each(text))
         foot = []
-        for line in text.rstrip().rsplit("\n", FOOT_LINES + 20)[::-1]:
+        for line in _each(text.rstrip(), backwards=True):
             if not line.strip():
                 continue
-            if len(foot) == FOOT_LINES or not _COMMENT.match(line) or line.lstrip()[:3] in ('"""', "'''"):
+            if not _COMMENT.match(line) or line.lstrip()[:3] in ('"""', "'''"):
                 break
             foot.append(line)
         zone = "\n".join(zone + foot[::-1])

@@ -56,3 +56,12 @@ def test_table(spark):
     df = spark.createDataFrame(rows, "file_id long, file_path string, content string, reason int")
     assert sorted(map(str, map(tuple, p.machine_made(df, frozenset({"dist"})).distinct().collect()))) == sorted(map(str, [(1, "excluded_directory"), (None, "excluded_directory")]))
     assert p.machine_made(df.limit(0), frozenset()).count() == 0
+
+
+@pytest.mark.parametrize("text", ["".join(f"// licence line {i}\n" for i in range(60)) + "// Code generated by tool v1. DO NOT EDIT.\npackage x\n", '"""Tables of the parser.\n\nThis file was generated by gen; do not edit.\n"""\n\nX = 1\n', CODE + "# @generated by x\n" + "# a remark\n" * 40])
+def test_whole_comment_block_and_docstring(text):
+    assert judge.notice(text) == "generated"
+
+
+def test_docstring_behind_code_is_no_notice():
+    assert judge.notice('import os\n"""do not edit"""\n') is None and judge.notice('"""Doc."""\nbanner = "do not edit"\n') is None
