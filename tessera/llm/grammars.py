@@ -202,6 +202,7 @@ Id: 'ID'
 """
 
 GO = r"""
+File: Package (';'+ Import)* (';'+ TopDecl)* ';'*
 Package: 'package' Id
 Import: 'import' (ImportSpec | (:ImportSpecs))
 ImportSpecs: (ImportSpec (';' ImportSpec)* ';'?)?
@@ -256,6 +257,7 @@ Id: 'ID'
 """
 
 PYTHON = r"""
+File: Stmt*
 Stmts: Stmt+
 Stmt: Simple (';' Simple)* ';'? 'NL' | Compound
 Suite: ':' ('NL' <:Stmts> | Simple (';' Simple)* ';'? 'NL')

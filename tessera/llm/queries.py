@@ -41,9 +41,9 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.broken_pairs(spread(logs), pairs.train(logs)).distinct()
 
 
-def _judged(spark: SparkSession, sf: str) -> DataFrame:
+def _judged(spark: SparkSession, sf: str, *carried: str) -> DataFrame:
     files = table(spark, sf, "source_files").where((F.col("file_type") == "code") & F.col("content").isNotNull())
-    return syntax.unparsable(spread(files.select("file_id", "file_path", "content"))).distinct()
+    return syntax.unparsable(spread(files.select("file_id", "file_path", "content", *carried)), "file_id", "file_path", "content", *carried).distinct()
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,9 +52,8 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
     """Share of files that do not parse, per repository and language of the extension."""
-    owner = table(spark, sf, "source_files").where(F.col("file_type") == "code").select("file_id", "repository_identifier").distinct()
     bad = (~F.col("valid")).cast("int")
-    rates = _judged(spark, sf).join(owner, "file_id").groupBy("repository_identifier", "language")
+    rates = _judged(spark, sf, "repository_identifier").groupBy("repository_identifier", "language")
     return rates.agg(F.count("*").alias("files"), F.sum(bad).alias("invalid"), F.round(F.avg(bad), 6).alias("share"))
 
 

@@ -1,12 +1,10 @@
 """Source files that do not parse, by generalised LL.
 
 A file is cut into tokens, and its brackets (in Python also its indented blocks)
-into a tree.  From the innermost group outwards, each group's content is parsed
-by the generalised parser for every nonterminal that may stand in such a group;
-the group then is one token of the content around it, known by the set of those
-nonterminals.  Statement lists are parsed statement by statement; where one does
-not parse alone, the whole list is, so that cutting never rejects a file.  All
-results are kept by token kinds, so that equal shapes are parsed once a worker.
+into a tree.  The parser steps through a group's content for all nonterminals that
+may stand in such a group at once; at its closing bracket the group becomes one
+token of the content around it, known by the set of those it derives.  What was
+stepped through before, in this file or another, is only looked up.
 
 Edge cases: null content and unknown extensions are not judged; an empty file is
 valid (but no Go or minified file is without a package clause: Go needs one); a
@@ -25,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import grammars
-from .gll import END, Network
+from .gll import END, FRONTS, Front, Network
 
+#: Distinct token texts whose kind is kept.
 MEMO = 400_000
 _OPEN = {"(": ")", "[": "]", "{": "}"}
 _CLOSE = {")", "]", "}"}
@@ -52,6 +51,8 @@ class Kinds(dict):
 class Language:
     name = ""
     grammar = ""
+    #: What a whole file is.
+    top = ""
     #: Nonterminals that may be the content of each bracket.
     contents: dict[str, list[str]] = {}
     keywords: frozenset[str] = frozenset()
@@ -62,11 +63,14 @@ class Language:
         self.ids: dict[str, int] = {}
         self.names: list[str] = []
         self.groups: dict[int, tuple[str, frozenset[str]]] = {}
-        self.memo: dict[tuple, object] = {}
+        self.of: dict[tuple[str, frozenset[str]], int] = {}
         self.kinds = Kinds(self)
         self.net = Network(self.grammar, self.matches, self.holds)
-        # kinds are even; an odd one stands first on its line
+        # kinds are even; an odd one stands first on its line; those up to ``special`` need more than a step
         self.skip, self.newline, self.bad = self.kind("SKIP"), self.kind("NEWLINE"), self.kind("BAD")
+        self.opens = {self.kind(b): b for b in _OPEN}
+        self.closes = {self.kind(b): b for b in _CLOSE}
+        self.special = 2 * len(self.names) - 1
 
     def kind(self, name: str) -> int:
         if name not in self.ids:
@@ -103,86 +107,63 @@ class Language:
     def classify(self, text: str) -> int:
         raise NotImplementedError
 
-    def derives(self, name: str, content: tuple[int, ...]) -> bool:
-        key = (name, content)
-        found = self.memo.get(key)
-        if found is None:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            found = self.memo[key] = self.net.derives(name, content)
-        return found
+    def inside(self) -> dict[str, Front]:
+        """The front at the start of each kind of group."""
+        return {b: self.net.start(*names) for b, names in self.contents.items()}
 
-    def listed(self, name: str, item: str, content: tuple[int, ...]) -> bool:
-        """Whether a list of items derives the content; piece by piece where that works."""
-        pieces = self.pieces(content)
-        if len(pieces) > 1 and all(self.derives(name, p) for p in pieces):
-            return True
-        return self.derives(name, content)
-
-    def pieces(self, content: tuple[int, ...]) -> list[tuple[int, ...]]:
-        return [content]
-
-    #: Nonterminals parsed piece by piece.
-    lists: frozenset[str] = frozenset()
-
-    def group(self, bracket: str, content: tuple[int, ...]) -> int:
+    def group(self, bracket: str, front: Front) -> int:
         """The kind of a group: one for all contents that derive the same nonterminals."""
-        key = (bracket, content)
-        found = self.memo.get(key)
+        can = front.accepts
+        found = self.of.get((bracket, can))
         if found is None:
-            can = frozenset(n for n in self.contents[bracket] if (self.listed(n, n, content) if n in self.lists else self.derives(n, content)))
             if not can:
                 raise Invalid(bracket)
-            name = bracket + ",".join(sorted(can))
-            found = self.kind(name)
+            found = self.of[bracket, can] = self.kind(bracket + ",".join(sorted(can)))
             self.groups[found] = (bracket, can)
-            self.memo[key] = found
         return found
 
     def tokens(self, text: str) -> list[int]:
-        raise NotImplementedError
-
-    def fold(self, text: str) -> tuple[int, ...]:
-        """Kinds of the outermost level."""
-        stack: list[tuple[str, int, list[int]]] = []
-        now: list[int] = []
-        opens, closes = self.opens, self.closes
+        return [*map(self.kinds.__getitem__, self.pattern.findall(text))]
+
+    def run(self, text: str, *names: str) -> Front:
+        """The front after the whole text, from the start of these nonterminals."""
+        front, inside, special = self.net.start(*names), self.inside(), self.special
+        skip, newline, bad, opens, closes = self.skip, self.newline, self.bad, self.opens, self.closes
+        stack: list[tuple[str, int, Front]] = []
+        first = 0
         for k in self.tokens(text):
-            b = k & ~1
-            if b in opens:
-                stack.append((opens[b], k & 1, now))
-                now = []
-            elif b in closes:
-                if not stack or _OPEN[stack[-1][0]] != closes[b]:
+            if k > special:
+                front = front[k | first]
+                first = 0
+            elif k == newline:
+                first = 1
+            elif k in opens:
+                stack.append((opens[k], first, front))
+                front = inside[opens[k]]
+                first = 0
+            elif k in closes:
+                if not stack or _OPEN[stack[-1][0]] != closes[k]:
                     raise Invalid("bracket")
                 bracket, first, outer = stack.pop()
-                kind = self.group(bracket, tuple(now)) | first
-                now = outer
-                now.append(kind)
-            elif b == self.bad:
+                front = outer[self.group(bracket, front) | first]
+                first = 0
+            elif k == bad:
                 raise Invalid("token")
-            else:
-                now.append(k)
         if stack:
             raise Invalid("open bracket")
-        return tuple(now)
-
-    def ready(self) -> None:
-        self.opens = {self.kind(b): b for b in _OPEN}
-        self.closes = {self.kind(b): b for b in _CLOSE}
+        return front
 
     def valid(self, text: str) -> bool:
-        text = text.removeprefix("﻿")
+        if len(self.net.fronts) > FRONTS:
+            self.net.reset()
+        text = text.removeprefix("\ufeff")
         if text.startswith("#!"):
             text = text[text.find("\n") :] if "\n" in text else ""
         try:
-            return self.whole(self.fold(text))
+            return self.top in self.run(text, self.top).accepts
         except Invalid:
             return False
 
-    def whole(self, content: tuple[int, ...]) -> bool:
-        raise NotImplementedError
-
 
 _ID = r"[^\W\d][\w]*"
 
@@ -190,7 +171,7 @@ _ID = r"[^\W\d][\w]*"
 class Script(Language):
     """JavaScript as a module."""
 
-    name, grammar = "js", grammars.JS
+    name, grammar, top = "js", grammars.JS, "Program"
     keywords = frozenset("break case catch class const continue debugger default delete do else enum export extends finally for function if import in instanceof new null return super switch this throw true false try typeof var void while with yield await let static implements interface package private protected public".split())
     soft = frozenset("async of get set from as type assert require using global".split())
     ts_soft = frozenset()
@@ -199,32 +180,30 @@ class Script(Language):
         "[": ["Expr", "ArrLit", "ArrPat", "Assign"],
         "{": ["Stmts", "ObjLit", "ObjPat", "ClassBody", "Cases", "ImportList"],
     }
-    lists = frozenset(["Stmts", "Program"])
     pattern = re.compile(
-        r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|[ \t\r\f\v\xa0﻿]+|\n\s*"
+        r"[ \t\r\f\v\xa0﻿]*(//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|\n\s*"
         r"|[^\W\d][\w$]*(?:\$[\w$]*)*|\$[\w$]*|\"(?:[^\"\\\n]|\\(?:\r\n|.|\n))*\"|'(?:[^'\\\n]|\\(?:\r\n|.|\n))*'|`(?:[^`\\]|\\.|\\\n)*`"
         r"|0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?n?"
-        r"|#[^\W\d][\w$]*|\.\.\.|\?\.(?!\d)|=>|===|!==|\*\*=|\*\*|==|!=|<=|>=|&&=|\|\|=|\?\?=|&&|\|\||\?\?|\+\+|--|<<=|<<|[-+*/%&|^]=|[-+*/%&|^!~?:;,.<>=@(){}\[\]]|.",
+        r"|#[^\W\d][\w$]*|\.\.\.|\?\.(?!\d)|=>|===|!==|\*\*=|\*\*|==|!=|<=|>=|&&=|\|\|=|\?\?=|&&|\|\||\?\?|\+\+|--|<<=|<<|[-+*/%&|^]=|[-+*/%&|^!~?:;,.<>=@(){}\[\]]|.|\Z)",
         re.S,
     )
+    blanks, slash = re.compile(r"[ \t\r\f\v\xa0﻿]*"), re.compile(r"/(?![/*])")
     slow = re.compile(r"/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 
     def __init__(self):
         super().__init__()
-        self.ready()
         self.semi = self.kind(";")
         names = "ID NUM STR TPL REGEX this super null true false ) ] }".split()
         self.operand = {self.kind(n) for n in names} | {self.kind(s) for s in self.soft}
-        self.slash, self.slash_eq = self.kind("/"), self.kind("/=")
-        self.glue_next = {self.kind(n) for n in "else catch finally . ?. ? : , = => + - * / % ** == != === !== < > <= >= << & | ^ && || ?? in instanceof ) ] } += -= *= /= while as satisfies extends implements".split()}
-        self.glue_last = {self.kind(n) for n in "else do try finally . ?. ? : , = => + - * / % ** == != === !== < > <= >= << & | ^ && || ?? in instanceof ! ~ typeof void delete new return throw case default import export from const let var class function async await yield += -= *= /= extends implements interface type namespace module declare abstract enum @".split()} | {self.kind("=>")}
         self.heads = {self.kind(n) for n in "if for while switch catch function with".split()}
 
     def classify(self, text: str) -> int:
+        if not text:
+            return self.skip
         c = text[0]
         if c == "\n":
             return self.newline
-        if c in " \t\r\f\v\xa0﻿" or text.startswith(("//", "/*")):
+        if text.startswith(("//", "/*")):
             return self.newline if text.startswith("/*") and "\n" in text else self.skip
         if c.isalpha() or c in "_$":
             return self.kind(text if text in self.keywords or text in self.soft else "ID")
@@ -255,7 +234,7 @@ class Script(Language):
             if end < 0:
                 return self.bad
             try:
-                if not self.derives("Expr", self.fold(text[i + 2 : end])):
+                if "Expr" not in self.run(text[i + 2 : end], "Expr").accepts:
                     return self.bad
             except Invalid:
                 return self.bad
@@ -290,22 +269,16 @@ class Script(Language):
         return -1
 
     def tokens(self, text: str) -> list[int]:
-        kinds = self.kinds
-        if "`" in text and "${" in text or "/" in text and re.search(r"(?:^|[=(,:;!&|?\[{}+~^<>%*\n-]|\breturn|\btypeof|\bcase)\s*/(?![/*])", text):
-            raw = self.careful(text)
-        else:
-            raw = [kinds[t] for t in self.pattern.findall(text)]
-        out, first = [], 0
-        skip, newline = self.skip, self.newline
-        for k in raw:
-            if k == skip:
-                continue
-            if k == newline:
-                first = 1
-            else:
-                out.append(k | first)
-                first = 0
-        return out
+        if "`" in text and "${" in text or any(self.expects_operand(text, m.start()) for m in self.slash.finditer(text)):
+            return self.careful(text)
+        return super().tokens(text)
+
+    @staticmethod
+    def expects_operand(text: str, at: int) -> bool:
+        """Whether a slash here may begin a regular expression, by what stands before it."""
+        while at and text[at - 1].isspace():
+            at -= 1
+        return not at or text[at - 1] in "=(,:;!&|?[{}+~^<>%*-" or text.endswith(("return", "typeof", "case"), 0, at)
 
     def careful(self, text: str) -> list[int]:
         """One token after another: regular expressions and nested templates."""
@@ -313,7 +286,7 @@ class Script(Language):
         match, kinds = self.pattern.match, self.kinds
         paren: list[bool] = []
         after_head = False
-        while i < n:
+        while (i := self.blanks.match(text, i).end()) < n:
             c = text[i]
             if c == "/" and text[i + 1 : i + 2] not in ("/", "*") and (last not in self.operand or after_head) and (m := self.slow.match(text, i)):
                 k, i = self.kind("REGEX"), m.end()
@@ -330,7 +303,7 @@ class Script(Language):
                 k, i = self.template(text[i : j + 1]), j + 1
             else:
                 m = match(text, i)
-                k, i = kinds[m[0]], m.end()
+                k, i = kinds[m[1]], m.end()
             out.append(k)
             if k not in (self.skip, self.newline):
                 after_head = False
@@ -341,19 +314,6 @@ class Script(Language):
                 last = k
         return out
 
-    def pieces(self, content: tuple[int, ...]) -> list[tuple[int, ...]]:
-        out, start, n = [], 0, len(content)
-        for i in range(1, n):
-            k, p = content[i], content[i - 1] & ~1
-            if p == self.semi or (k & 1 and (k & ~1) not in self.glue_next and p not in self.glue_last and not ((g := self.groups.get(k & ~1)) and g[0] != "{") and not (p in self.groups and self.groups[p][0] == "(" and i > 1 and (content[i - 2] & ~1) in self.heads)):
-                out.append(content[start:i])
-                start = i
-        out.append(content[start:])
-        return out
-
-    def whole(self, content: tuple[int, ...]) -> bool:
-        return not content or self.listed("Program", "Item", content)
-
 
 class TypeScript(Script):
     name, grammar = "ts", grammars.TS
@@ -367,7 +327,7 @@ class TypeScript(Script):
 
 
 class Java(Language):
-    name, grammar = "java", grammars.JAVA
+    name, grammar, top = "java", grammars.JAVA, "Unit"
     keywords = frozenset("abstract assert break case catch class const continue default do else enum extends final finally for goto if implements import instanceof interface native new package private protected public return static strictfp super switch synchronized this throw throws transient try void volatile while true false null".split())
     soft = frozenset("record sealed permits yield when module open requires exports opens uses provides transitive to with non".split())
     prims = frozenset("int long short byte char boolean float double".split())
@@ -376,23 +336,18 @@ class Java(Language):
         "[": ["Nothing", "Expr"],
         "{": ["Stmts", "ClassBody", "EnumBody", "ArrInit", "SwitchBody", "ElemVals", "ModuleBody"],
     }
-    lists = frozenset(["Stmts", "ClassBody"])
     pattern = re.compile(
-        r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|\s+|[^\W\d][\w$]*|\$[\w$]*|\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.[0-9a-fA-F]*)'"
+        r"\s*(//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|[^\W\d][\w$]*|\$[\w$]*|\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.[0-9a-fA-F]*)'"
         r"|0[xX][\da-fA-F_.]+(?:[pP][+-]?\d+)?[lLfFdD]?|0[bB][01_]+[lL]?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?[lLfFdD]?"
-        r"|\.\.\.|->|::|==|!=|<=|>=|&&|\|\||\+\+|--|<<=|<<|[-+*/%&|^]=|[-+*/%&|^!~?:;,.<>=@(){}\[\]]|.",
+        r"|\.\.\.|->|::|==|!=|<=|>=|&&|\|\||\+\+|--|<<=|<<|[-+*/%&|^]=|[-+*/%&|^!~?:;,.<>=@(){}\[\]]|.|\Z)",
         re.S,
     )
 
-    def __init__(self):
-        super().__init__()
-        self.ready()
-        self.semi = self.kind(";")
-        self.no_cut = {self.kind(n) for n in "else catch finally while . , ; -> ) ] } : :: ? = + - * / % == != < > <= >= & | ^ && || instanceof".split()}
-
     def classify(self, text: str) -> int:
+        if not text:
+            return self.skip
         c = text[0]
-        if c.isspace() or text.startswith(("//", "/*")):
+        if text.startswith(("//", "/*")):
             return self.skip
         if c.isalpha() or c in "_$":
             return self.kind(text if text in self.keywords or text in self.soft else "PRIM" if text in self.prims else "ID")
@@ -404,54 +359,33 @@ class Java(Language):
             return self.kind(text)
         return self.bad
 
-    def tokens(self, text: str) -> list[int]:
-        kinds, skip = self.kinds, self.skip
-        return [k for t in self.pattern.findall(text) if (k := kinds[t]) != skip]
-
-    def pieces(self, content: tuple[int, ...]) -> list[tuple[int, ...]]:
-        out, start = [], 0
-        for i in range(1, len(content)):
-            p = content[i - 1]
-            if p == self.semi or (p in self.groups and self.groups[p][0] == "{" and content[i] not in self.no_cut):
-                out.append(content[start:i])
-                start = i
-        out.append(content[start:])
-        return out
-
-    def whole(self, content: tuple[int, ...]) -> bool:
-        return self.derives("Unit", content)
-
 
 class Go(Language):
-    name, grammar = "go", grammars.GO
+    name, grammar, top = "go", grammars.GO, "File"
     keywords = frozenset("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split())
     contents = {
         "(": ["Grouped", "Args", "Params", "ImportSpecs", "Specs", "TypeSpecs", "Type", "Asserted"],
         "[": ["Nothing", "Index", "ArrLen", "TypeList", "TypeParams", "Type"],
         "{": ["Stmts", "Literal", "Fields", "Methods", "Cases"],
     }
-    lists = frozenset(["Stmts"])
     pattern = re.compile(
-        r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|[ \t\r]+|\n|[^\W\d]\w*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\[^\n']+|\\')'|`[^`]*`"
+        r"[ \t\r]*(//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|\n|[^\W\d]\w*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\[^\n']+|\\')'|`[^`]*`"
         r"|0[xX][\da-fA-F_.]+(?:[pP][+-]?\d+)?i?|0[bB][01_]+i?|0[oO][0-7_]+i?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?i?"
-        r"|\.\.\.|:=|<-|==|!=|<=|>=|&&|\|\||\+\+|--|<<=|>>=|&\^=|&\^|<<|>>|[-+*/%&|^]=|[-+*/%&|^!~:;,.<>=(){}\[\]]|.",
+        r"|\.\.\.|:=|<-|==|!=|<=|>=|&&|\|\||\+\+|--|<<=|>>=|&\^=|&\^|<<|>>|[-+*/%&|^]=|[-+*/%&|^!~:;,.<>=(){}\[\]]|.|\Z)",
         re.S,
     )
 
     def __init__(self):
         super().__init__()
-        self.ready()
         self.semi = self.kind(";")
         self.enders = {self.kind(n) for n in "ID NUM STR break continue fallthrough return ++ -- ) ] }".split()}
-        self.case, self.default = self.kind("case"), self.kind("default")
-        self.importing = self.kind("import")
 
     def classify(self, text: str) -> int:
+        if not text:
+            return self.skip
         c = text[0]
         if c == "\n":
             return self.newline
-        if c in " \t\r":
-            return self.skip
         if text.startswith("//"):
             return self.skip
         if text.startswith("/*"):
@@ -485,32 +419,9 @@ class Go(Language):
             out.append(semi)
         return out
 
-    def pieces(self, content: tuple[int, ...]) -> list[tuple[int, ...]]:
-        out, start = [], 0
-        for i, k in enumerate(content):
-            if k == self.semi:
-                out.append(content[start : i + 1])
-                start = i + 1
-        if start < len(content):
-            out.append(content[start:])
-        return out or [content]
-
-    def whole(self, content: tuple[int, ...]) -> bool:
-        parts = [p[:-1] if p[-1] == self.semi else p for p in self.pieces(content) if p]
-        if not parts or not self.derives("Package", parts[0]):
-            return False
-        importing = True
-        for p in parts[1:]:
-            if not p:
-                continue
-            importing = importing and p[0] == self.importing
-            if not self.derives("Import" if importing else "TopDecl", p):
-                return False
-        return True
-
 
 class Python(Language):
-    name, grammar = "python", grammars.PYTHON
+    name, grammar, top = "python", grammars.PYTHON, "File"
     keywords = frozenset("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split())
     soft = frozenset(["match", "case", "type"])
     contents = {
@@ -528,9 +439,7 @@ class Python(Language):
 
     def __init__(self):
         super().__init__()
-        self.ready()
-        self.nl, self.colon, self.at = self.kind("NL"), self.kind(":"), self.kind("@")
-        self.follow = {self.kind(n) for n in "elif else except finally".split()}
+        self.nl, self.colon = self.kind("NL"), self.kind(":")
 
     def classify(self, text: str) -> int:
         if not text:
@@ -550,100 +459,67 @@ class Python(Language):
             return self.kind(text)
         return self.bad
 
-    def fold(self, text: str) -> tuple[int, ...]:
+    def run(self, text: str, *names: str) -> Front:
         text = re.sub(r"(?m)^[ \t\f]*#[^\n]*$", "", text) if "#" in text and '"""' not in text and "'''" not in text else text
-        kinds, newline, skip, bad, nl = self.kinds, self.newline, self.skip, self.bad, self.nl
-        opens, closes = self.opens, self.closes
+        front, inside, special = self.net.start(*names), self.inside(), self.special
+        newline, bad, nl, colon, opens, closes = self.newline, self.bad, self.nl, self.colon, self.opens, self.closes
         indents = [0]
-        blocks: list[list[int]] = []  # the lines around each open block
-        stack: list[tuple[str, list[int]]] = []  # open brackets
-        now: list[int] = []
-        lines: list[int] = now
-        depth_start = True  # at the start of a logical line
+        blocks: list[Front] = []  # the fronts around each open block
+        stack: list[tuple[str, Front]] = []  # open brackets
+        fresh = True  # at the start of a logical line
+        last = before = -1  # the two kinds before, on this level
         first_indent = re.match(r"(?:[ \t\f]*(?:#[^\n]*)?\r?\n)*([ \t\f]*)(?=[^\s#]|\Z)", text)
         pending = len(first_indent[1].expandtabs(8)) if first_indent else 0
-        start = first_indent.start(1) if first_indent else 0
-        for t in self.pattern.findall(text, start):
-            k = kinds[t]
-            if k == skip:
-                continue
-            if k == newline:
+        tokens = self.pattern.findall(text, first_indent.start(1) if first_indent else 0)
+        for t, k in zip(tokens, map(self.kinds.__getitem__, tokens)):
+            if k > special or k in opens:
+                if fresh:
+                    if pending > indents[-1]:
+                        if last != nl or before != colon:
+                            raise Invalid("indent")
+                        indents.append(pending)
+                        blocks.append(front)
+                        front = inside["<"]
+                    while pending < indents[-1]:
+                        indents.pop()
+                        block = self.group("<", front)
+                        front = blocks.pop()[block]
+                        before, last = last, block
+                    if pending != indents[-1]:
+                        raise Invalid("dedent")
+                    fresh = False
+                if k > special:
+                    front = front[k]
+                    before, last = last, k
+                else:
+                    stack.append((opens[k], front))
+                    front = inside[opens[k]]
+            elif k == newline:
                 if stack:
                     continue
-                if not depth_start:
-                    lines.append(nl)
-                    depth_start = True
+                if not fresh:
+                    front = front[nl]
+                    before, last = last, nl
+                    fresh = True
                 tail = t[t.rfind("\n") + 1 :]
-                pending = len(tail.split("#")[0].expandtabs(8)) if "#" not in tail else pending
-                if "#" in tail:
-                    # a comment line closes the run; the next newline sets the indent
-                    pass
-                continue
-            if k == bad:
-                raise Invalid("token")
-            if depth_start and not stack:
-                if pending > indents[-1]:
-                    if len(lines) < 2 or lines[-1] != nl or lines[-2] != self.colon:
-                        raise Invalid("indent")
-                    indents.append(pending)
-                    blocks.append(lines)
-                    lines = []
-                while pending < indents[-1]:
-                    indents.pop()
-                    inner = lines
-                    lines = blocks.pop()
-                    lines.append(self.group("<", tuple(inner)))
-                if pending != indents[-1]:
-                    raise Invalid("dedent")
-                depth_start = False
-            if k in opens:
-                stack.append((opens[k], lines))
-                lines = []
+                if "#" not in tail:  # a comment line closes the run; the next newline sets the indent
+                    pending = len(tail.expandtabs(8))
             elif k in closes:
                 if not stack or _OPEN[stack[-1][0]] != closes[k]:
                     raise Invalid("bracket")
                 bracket, outer = stack.pop()
-                kind = self.group(bracket, tuple(lines))
-                lines = outer
-                lines.append(kind)
-            else:
-                lines.append(k)
+                last = self.group(bracket, front)
+                front = outer[last]
+            elif k == bad:
+                raise Invalid("token")
         if stack:
             raise Invalid("open bracket")
-        if not depth_start:
-            lines.append(nl)
+        if not fresh:
+            front = front[nl]
         while blocks:
-            inner = lines
-            lines = blocks.pop()
-            lines.append(self.group("<", tuple(inner)))
-        return tuple(lines)
-
-    def pieces(self, content: tuple[int, ...]) -> list[tuple[int, ...]]:
-        """Statements: lines up to the next that neither follows a block head nor continues one."""
-        out, start = [], 0
-        n = len(content)
-        for i in range(1, n):
-            if content[i - 1] == self.nl or content[i - 1] in self.groups and self.groups[content[i - 1]][0] == "<":
-                k = content[i]
-                if k in self.groups and self.groups[k][0] == "<" or k in self.follow:
-                    continue
-                last = i - 2
-                while last >= start and content[last] != self.nl and not (content[last] in self.groups and self.groups[content[last]][0] == "<"):
-                    last -= 1
-                if content[i - 1] == self.nl and content[last + 1] == self.at:
-                    continue  # a decorator's line
-                out.append(content[start:i])
-                start = i
-        out.append(content[start:])
-        return out
-
-    lists = frozenset(["Stmts"])
-
-    def listed(self, name: str, item: str, content: tuple[int, ...]) -> bool:
-        return bool(content) and all(self.derives("Stmts", p) for p in self.pieces(content))
-
-    def whole(self, content: tuple[int, ...]) -> bool:
-        return not content or self.listed("Stmts", "Stmt", content)
+            block = self.group("<", front)
+            front = blocks.pop()[block]
+        return front
 
     def valid(self, text: str) -> bool:
         if super().valid(text):
@@ -678,18 +554,22 @@ def parses(path: str | None, text: str) -> bool | None:
     return None if language is None else language.valid(text)
 
 
-def unparsable(files: DataFrame, key: str = "file_id", path: str = "file_path", content: str = "content") -> DataFrame:
-    """(key, language, valid) of every file in a supported language."""
-    kind = files.schema[key].dataType.simpleString()
+def unparsable(files: DataFrame, key: str = "file_id", path: str = "file_path", content: str = "content", *carried: str) -> DataFrame:
+    """(key, language, valid) of every file in a supported language, and the columns to carry along."""
+    kept = [key, *carried]
+    kinds = "".join(f", `{c}` {files.schema[c].dataType.simpleString()}" for c in carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, languages, valid = [], [], []
-            for k, p, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            at, languages, valid = [], [], []
+            for i, (p, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 if t is not None and (language := language_of(p)) is not None:
-                    keys.append(k)
+                    at.append(i)
                     languages.append(language.name)
                     valid.append(language.valid(t))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema[0].type), pa.array(languages, pa.string()), pa.array(valid, pa.bool_())], [key, "language", "valid"])
+            rows = batch.take(pa.array(at, pa.int64()))
+            columns = [rows.column(2), pa.array(languages, pa.string()), pa.array(valid, pa.bool_()), *(rows.column(3 + i) for i in range(len(carried)))]
+            yield pa.RecordBatch.from_arrays(columns, [key, "language", "valid", *carried])
 
-    return files.select(key, path, content).mapInArrow(run, f"`{key}` {kind}, language string, valid boolean")
+    kind = files.schema[key].dataType.simpleString()
+    return files.select(path, content, *kept).mapInArrow(run, f"`{key}` {kind}, language string, valid boolean{kinds}")

@@ -1,9 +1,11 @@
 import ast
+import random
+import time
 
 import pytest
 
 from tessera.llm import syntax
-from tessera.llm.gll import Network
+from tessera.llm.gll import END, Network
 
 
 def test_ambiguous_and_left_recursive_grammar():
@@ -14,6 +16,28 @@ def test_ambiguous_and_left_recursive_grammar():
     assert ok("N", "") and ok("N", "aaa+") and not ok("N", "+a")
 
 
+def test_fronts_agree_with_descriptors():
+    rng = random.Random(3)
+    grammars = ["S: 'a' S? 'b' | T\nT: 'a'* ('b' T)? U\nU: @end | 'c' U", "S: X Y | Y Z?\nX: 'a' ('b' X)? | 'a'\nY: ('b' | Z)* 'c'?\nZ: 'a' 'b'? | 'c' X", "S: 'a' S 'a' | 'b' S 'b' | 'a' | 'b' | V\nV: 'c' V?"]
+    for text in grammars:
+        net = Network(text, lambda k, t: "abc"[k] == t[1], lambda k, p: k == END)
+        assert not net.cyclic
+        for _ in range(1500):
+            kinds = tuple(rng.randrange(3) for _ in range(rng.randrange(9)))
+            front = net.start(*sorted(net.names))
+            for k in kinds:
+                front = front[k]
+            assert front.accepts == {n for n in net.names if net.descends(n, kinds)}, (text, kinds)
+
+
+def test_long_lines_take_linear_time():
+    for ext, one in {".js": "x=f({a:[1,2],b(){return y?1:2}});", ".java": "class A{void f(){int x=(int)g(1)+h[2];}}", ".py": "x=f(a[1],{'b':2});"}.items():
+        start = time.process_time()
+        assert syntax.parses("a" + ext, one * (800_000 // len(one)))
+        assert time.process_time() - start < 4
+    assert syntax.parses("a.js", "x=" + "(" * 5000 + "1" + ")" * 5000) and syntax.parses("a.js", "if(a)b();else " * 3000 + "c()")
+
+
 GOOD = {
     ".py": ["", "x = 1", "def f(a, *, b=2, **k) -> int:\n\treturn a\n", "if a:\n  pass\nelif b: c\nelse:\n  d\n", "@d\nasync def f():\n    async with a as b, c:\n        await x\n", "match x:\n    case [1, *r] if r:\n        pass\n    case {'a': b, **k} | None:\n        pass\n", "x = [i for i in y if i]; z = {**a, 'b': 1}\n", "try:\n    a\nexcept* E as e:\n    b\n", "print(f'{x!r}' 'y', file=z)\n", "def f(a, /, b): \\\n    return lambda *x, y=1: (yield)\n", "# only a comment", "class A(B, m=C):\n    '''doc'''\n    x: int = 1\n\n# c\n    y = 2\n", "type X[T] = list[T]\nmatch = 1\n", "a = b = c[1:2, ::3]\nx: int\n(y) : int = 3\n"],
     ".js": ["", "export default class A extends B { #p = 1; static { x(); } get a() { return this.#p } async *g() {} }", "const {a, b: [c = 1, ...d], ...e} = f, g = /[/]re\\//gi.test(x)\nlet y = a / b / c", "for (const x of y) if (x) continue; else break", "(()=>{var e={1:(e,t)=>{!function(){}()}};var t={};})();", "a = b\n++c\nx = `t${`n${1}`}`", "import a, {b as c, default as d} from './x.js';\nexport * as n from 'y';\nexport {a as default}", "label: for (;;) { switch (x) { case 1: default: } }", "x = a ? b : c => ({d: e, f() {}, [g]: h, get i() { return 1 }})\nasync (a, b) => { await c?.d?.[e]?.(f) }", "new A(b)(c).d\nif (a)\n  b()\nelse\n  c()\ndo x(); while (y)\nz()", "'use strict'; var \\u0061".replace("\\u0061", "a"), "return_ = 1; a = b ** c ?? d; delete a.b; var async = 1, of = 2, get = 3"],
