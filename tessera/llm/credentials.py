@@ -1,19 +1,21 @@
 """Credentials embedded in source and configuration files, and their redaction.
 
-Strings that stand where a credential may stand (the value of a telling name, a
-command-line flag, a header, a bearer string, an argument of a login call, the
-login of a URL, a private-key block, a word after "token" or "password" in a
-comment, or the fixed prefix of a provider) are split by a public subword vocabulary.  Natural words come as few long subwords;
-keys and passwords fall apart into many short ones, so a low number of
-characters per subword marks an unnatural string.  Context rules then take out
-placeholders, references to variables and secret stores, digests, identifiers
-and public keys.  Redaction replaces the characters of the value one for one, so
-no offset, quote or line break of the surrounding code moves.
+Strings are split by a public subword vocabulary.  Natural words and names come as
+few long subwords; keys and passwords fall apart into many short ones, so few
+characters per subword mark an unnatural string.  Context sets the bar: behind a
+telling name, in a header, a URL's login, a login call or a comment about a
+password ``TOLD`` characters per subword are few enough, with a provider's prefix
+``PREFIXED``; a string without any such context, wherever it stands, has to stay
+below ``UNTOLD``.  Context rules then take out placeholders, references to
+variables and secret stores, digests, identifiers, embedded data and public keys.
+Redaction replaces the characters of the value one for one, so that no offset,
+quote, escape or line break of the surrounding code moves.
 
 Edge cases: null and empty contents have no rows; lines are counted from 1 and
-end with a line feed; a literal joined from parts counts on its first line and
-all its parts are redacted; a private key counts on the line of its first
-marker and its body is redacted; repeated rows give one result.
+end with a line feed, and may have any length; a literal joined from parts counts
+on its first line and all its parts are redacted; a private key counts on the line
+of its first marker and its body is redacted; a password has four characters or
+more (three in a URL, which tells of one by itself); repeated rows give one result.
 """
 
 from __future__ import annotations
@@ -29,10 +31,8 @@ from pyspark.sql import DataFrame
 
 from .tokenizer import TOKENIZERS, open_bpe
 
-#: At most so many characters per subword in an unnatural string.
-UNNATURAL = 2.6
-#: How far around a hint a very long line is looked at.
-BEFORE, AFTER = 200, 4_000
+#: At most so many characters per subword in an unnatural string: in a telling context, with a provider's prefix, and without either.
+TOLD, PREFIXED, UNTOLD = 2.6, 3.6, 2.0
 _NAME = r"passwords?|passwd|passwort|passphrase|passcode|pwd|pass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key|encryption[_-]?key|account[_-]?key|secret[_-]?key|auth[_-]?key|auth|authorization|credentials?|bearer|webhook"
 _STRING = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
 _KEY = rf"(?P<name>[\w$.-]{{0,64}}?(?:{_NAME})[\w$-]{{0,64}})(?P<q>[\"'`]?\]?)\s{{0,40}}(?::\s{{0,40}}[\w<>\[\]. |]{{1,60}}?\s{{0,40}})?(?P<op>:=|=>|=|:)(?!=)\s*+"
@@ -89,6 +89,15 @@ _PLACEHOLDER = re.compile(
 _REFERENCE = re.compile(r"^(?:vault|secret|secretsmanager|ssm|env|file|kms|keychain|op|aws|gcp|azure|sops|arn)[:/]|^(?:os|process|System|ENV|env|config|settings|cfg|self|this|viper|secrets?|vault)\b[.\[(]|getenv|environ|\w\(|^[A-Za-z_][\w.]*\[|^type=", re.I)
 _UUID = re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", re.I)
 _DIGEST = re.compile(r"^(?:sha\d+[:-]|md5[:-])", re.I)
+#: A string as long as keys are, without context; what stands before it as its name; and names that tell of other things.
+_LONG = re.compile(r"(?<![\w+/=.~\\-])[A-Za-z0-9][\w+/=.~-]{19,199}(?![\w+/=.~-])")
+_NAMED = re.compile(r"([\w$-]{1,64})[\"'`]?\]?\s{0,40}(?::\s{0,40}[\w<>\[\]. |]{1,60}?)?(?::=|=>|=|:)\s*[bru]{0,2}[\"'`]?$", re.I)
+_OTHER = re.compile(r"(?:hash|digest|sum|etag|commit|revision|rev|integrity|icon|image|img|data|blob|font|id|uuid|guid|trace|fingerprint|cert|certificate|public|pub|sri|nonce|salt|seed|version|payload|fixture|snapshot|cursor|signature|sig|mapping|asset|font|media|path|file|url|name|class|style|svg|png)[\w$]*$", re.I)
+_WITHIN = re.compile(r"[a-z]+://[^\s\"'`]*$|base64,$|BEGIN ")
+_DIGIT = re.compile(r"\d")
+_HEX = re.compile(r"^(?:0x)?[0-9a-f-]+$|^(?:0x)?[0-9A-F-]+$")
+#: Names of passwords, which may be short.
+_SHORT = re.compile(r"passwords?|passwd|passwort|passphrase|passcode|pwd|pass", re.I)
 _CODE = re.compile(r"^[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*(?:[();,{}]|$)")
 _COMMENT = re.compile(r"^\s*(?://|#|\*|/\*|--|;|<!--|\"\"\"|''')|\s(?://|#)\s")
 
@@ -136,9 +145,9 @@ _FOLD = str.maketrans({"\u0131": "i", "\u0130": "i", "\u017f": "s", "\u212a": "k
 
 
 class Finder:
-    def __init__(self, vocabulary: str, threshold: float = UNNATURAL):
+    def __init__(self, vocabulary: str, told: float = TOLD, prefixed: float = PREFIXED, untold: float = UNTOLD):
         self.bpe = open_bpe(vocabulary)
-        self.threshold = threshold
+        self.told, self.prefixed, self.untold = told, prefixed, untold
         self.automaton = ahocorasick.Automaton()
         for h, rules in HINTS.items():
             self.automaton.add_word(h, (len(h), rules))
@@ -153,24 +162,49 @@ class Finder:
             self.ratios[value] = len(value) / max(1, len(self.bpe.encode_batch([value])[0]))
         return self.ratios[value]
 
-    def credible(self, value: str, bare: bool) -> bool:
+    def credible(self, value: str, bare: bool, least: int = 6) -> bool:
         """Whether the value of a telling context is a literal credential."""
-        if len(value) < 6 or " " in value.strip():
+        if len(value) < least or " " in value.strip():
             return False
         if _PLACEHOLDER.search(value) or _REFERENCE.search(value) or _UUID.match(value) or _DIGEST.match(value) or "://" in value:
             return False
         if _FIXED_PART.match(value) and len(value) >= 12:
-            return True
+            return self.per_subword(value) <= self.prefixed
         if value.replace(".", "").replace("-", "").replace(":", "").isdigit() and len(value) < 16:
             return False
-        if len(set(value)) < 4 or value[0] in "/." and not any(c.isdigit() for c in value):
+        if len(set(value)) < min(4, len(value)) or value[0] in "/." and not any(c.isdigit() for c in value):
             return False
-        kinds = sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value), any(not c.isalnum() for c in value)))
         if bare and (any(c in "[]{}()" for c in value) or _CODE.match(value) and not any(c.isdigit() for c in value)):
             return False
-        if kinds < 2 and len(value) < 16:
+        # a short value is unnatural only if hardly any two of its characters belong together
+        return self.per_subword(value) <= (self.told if len(value) > 7 else self.told - 0.6 if len(value) > 5 else self.told - 1)
+
+    def untold_keys(self, text: str) -> list[tuple[int, int]]:
+        """Spans of the unnatural strings that need no context to be keys: whole literals or values, of
+        letters of both cases and digits, that are no part of a series without names."""
+        found, last = [], -1
+        for m in _LONG.finditer(text):
+            v, (a, b) = m[0], m.span()
+            if _DIGIT.search(v) is None or v.isupper() or v.islower() or _HEX.match(v) or "__" in v:
+                continue
+            series, last = last >= 0 and text.count("\n", last, a) < 2, b
+            quote = text[a - 1 : a] if a else ""
+            if quote in ("\n", "") or not (quote in "\"'`" and text[b : b + 1] == quote or quote in " \t=:" and text[b : b + 1] in ("", "\n", "\r", ";", " ", ",")):
+                continue
+            found.append((a, b, quote in "\"'`" and not series))
+        new = [v for a, b, _ in found if (v := text[a:b]) not in self.ratios]
+        if new:
+            self.ratios |= {v: len(v) / max(1, len(ids)) for v, ids in zip(new, self.bpe.encode_batch(new))}
+        return [(a, b) for a, b, single in found if self.per_subword(text[a:b]) <= self.untold and self._alone(text, a, b, single)]
+
+    @staticmethod
+    def _alone(text: str, a: int, b: int, single: bool) -> bool:
+        """Whether nothing around an unnatural string tells that it is something else than a key."""
+        v, before = text[a:b], text[max(text.rfind("\n", 0, a) + 1, a - 200) : a]
+        name = _NAMED.search(before)
+        if name is None and not single or name and (_OTHER.search(name[1]) or _ABOUT.search(name[1])):
             return False
-        return self.per_subword(value) <= self.threshold and any(c.isdigit() for c in value) or kinds >= 3 and self.per_subword(value) <= self.threshold - 0.3
+        return not (_PLACEHOLDER.search(v) or _REFERENCE.search(v) or _PLAIN.match(v) or _WITHIN.search(before))
 
     def lines(self, text: str, lower: str) -> Iterator[tuple[int, int, int]]:
         """Start, end and possible rules of every line that holds a hint."""
@@ -195,11 +229,11 @@ class Finder:
         comment = bool(may(_PROSE) or may(_LOGIN)) and bool(_COMMENT.search(s))
         for m in _URL.finditer(s) if may(_URL) else ():
             v = m["value"]
-            if not _PLACEHOLDER.search(v) and not _REFERENCE.search(v) and len(v) >= 4 and (self.per_subword(v) <= self.threshold or any(c.isdigit() for c in v)):
+            if not _PLACEHOLDER.search(v) and not _REFERENCE.search(v) and len(v) > 2 and self.per_subword(v) <= self.told:
                 out.append((start + m.start("value"), start + m.end("value")))
         for m in _FIXED.finditer(s) if may(_FIXED) else ():
             v = m["value"]
-            if not _PLACEHOLDER.search(v) and len(set(v)) > 8:
+            if not _PLACEHOLDER.search(v) and len(set(v)) > 8 and self.per_subword(v) <= self.prefixed:
                 out.append((start + m.start("value"), start + m.end("value")))
         for m in _BEARER.finditer(s) if may(_BEARER) else ():
             v = (m["value"] or m["other"]).rstrip(".")
@@ -208,13 +242,17 @@ class Finder:
                 out.append((a, a + len(v)))
         for m in _CALL.finditer(s) if may(_CALL) and _CALL_PART.search(s) else ():
             out += self.arguments(text, m["name"], m["login"] is not None, start + m.end())
+        counted, depth = start, 0  # parentheses open before a match
         for m in _KEYED.finditer(s) if may(_KEYED) and _KEYED_PART.search(s) else ():
             v, name = m["value"], m["name"]
             quoted = v[:1] in "\"'`"
             if _ABOUT.search(name):
                 continue
+            short = 4 if _SHORT.search(name) else 6
             if quoted:
-                out += self.joined(text, start, start + m.start("value"), start + m.end("value"), m["open"] is not None)
+                at = start + m.start("value")
+                depth, counted = depth + text.count("(", counted, at) - text.count(")", counted, at), at
+                out += self.joined(text, start, at, start + m.end("value"), m["open"] is not None, depth > 0, short)
             elif v.lower() in ("bearer", "basic", "token"):
                 rest = re.match(r"\s+([^\s\"'`,;]+)", s[m.end() :])
                 if rest and self.credible(rest[1], True):
@@ -222,7 +260,9 @@ class Finder:
             elif self.credible(v.rstrip(").]}"), True):
                 out.append((start + m.start("value"), start + m.start("value") + len(v.rstrip(").]}"))))
         if may(_KEYED) and text[end : end + 1] == "\n" and (first := _NEXT.match(text, end)) and (m := _OPEN.search(s)) and not _ABOUT.search(m["name"]):
-            out += self.joined(text, start, first.start("value"), first.end("value"), m["open"] is not None)
+            at = first.start("value")
+            depth += text.count("(", counted, at) - text.count(")", counted, at)
+            out += self.joined(text, start, at, first.end("value"), m["open"] is not None, depth > 0, 4 if _SHORT.search(m["name"]) else 6)
         for rule in (_FLAG, _HEADER, *((_PROSE, _LOGIN) if comment else ())):
             for m in rule.finditer(s) if may(rule) else ():
                 v, a = m["value"], m.start("value")
@@ -234,11 +274,11 @@ class Finder:
                     out.append((start + a, start + a + len(v)))
         return out
 
-    def joined(self, text: str, start: int, at: int, end: int, opened: bool) -> list[tuple[int, ...]]:
+    def joined(self, text: str, start: int, at: int, end: int, opened: bool, inside: bool, least: int) -> list[tuple[int, ...]]:
         """Start, end and start of the first part, of each part of the literal that begins here, if it is a credential.
         It goes on behind a sign or backslash, and without one in parentheses or on lines further in."""
         parts = [(at + 1, end - 1)]
-        inside = opened or text.count("(", start, at) > text.count(")", start, at)
+        inside = opened or inside
         depth = _INDENT.match(text, start).end() - start
         while m := _MORE.match(text, end):
             if m["sign"] is None and (m["key"] or not inside and (m["break"] is None or len(m["indent"]) <= depth)) or text[m.end("value") : m.end("value") + 1] == m["value"][0]:
@@ -253,7 +293,7 @@ class Finder:
                 rest.append((min(b, a + cut), b))
                 cut -= min(cut, b - a)
             parts = rest
-        if opened and _PLAIN.match(whole) or not self.credible(whole, False):
+        if opened and _PLAIN.match(whole) or not self.credible(whole, False, least):
             return []
         return [(a, b, at) for a, b in parts if b > a]
 
@@ -261,8 +301,8 @@ class Finder:
         """Spans of the credentials among the plain arguments of a call, whose first starts here."""
         if _ABOUT.search(name) or _GETTER.search(name):
             return []
-        stop, literals, n = min(len(text), at + AFTER), [], 0
-        while at < stop and (m := _ARGUMENT.match(text, at, stop)):
+        literals, n = [], 0
+        while m := _ARGUMENT.match(text, at):
             if m["value"]:
                 literals.append((n, m.start("value") + 1, m.end("value") - 1))
             at, n = m.end(), n + 1
@@ -294,37 +334,36 @@ class Finder:
                     if marked and len(set(text[first:last])) > 8:  # not one that is blanked out
                         found.setdefault(number, []).extend(m.span("run") for m in run.finditer(text, first, last))
                         skip = max(skip, last)
-            if end - start <= 20_000:
-                spans += self.line(text, start, end, rules)
-            else:  # very long line: around its hints
-                a = z = -1
-                for last, (n, _) in self.automaton.iter(lower, start, end):
-                    if z < 0:
-                        a = last - n - BEFORE
-                    elif last - n - BEFORE > z:
-                        spans += self.line(text, max(start, a), min(end, z), rules)
-                        a = last - n - BEFORE
-                    z = last + AFTER
-                    if z - a > 20_000:
-                        spans += self.line(text, max(start, a), min(end, z), rules)
-                        a, z = last - BEFORE, last + AFTER
-                if z >= 0:
-                    spans += self.line(text, max(start, a), min(end, z), rules)
+            spans += self.line(text, start, end, rules)
             for a, b, *first in spans:  # an argument, or the literal of a name, may stand on a later line
-                found.setdefault(number + text.count("\n", start, max(start, *first, a if not first else 0)), []).append((a, b))
+                at = first[0] if first else a
+                found.setdefault(number + (text.count("\n", end, at) if at > end else 0), []).append((a, b))
                 if first and b > end:
                     skip = max(skip, b + 1)
+        at, number = 0, 1
+        for a, b in self.untold_keys(text):
+            number += text.count("\n", at, a)
+            at = a
+            if number not in found or all(b <= x or y <= a for x, y in found[number]):
+                found.setdefault(number, []).append((a, b))
         return sorted(found.items())
 
 
+_ESCAPE = re.compile(r"\\(?:(u)[0-9a-fA-F]{4}|(x)[0-9a-fA-F]{2}|.)|[^\s\\\"'`+,;]", re.S)
+
+
 def redact(text: str, spans: list[tuple[int, int]], mark: str = "X") -> str:
-    """The text with these values replaced character for character; line breaks stay."""
+    """The text with these values replaced character for character; line breaks, quotes and escapes stay."""
+
+    def put(m: re.Match) -> str:
+        return f"\\u{ord(mark):04x}" if m[1] else f"\\x{ord(mark):02x}" if m[2] else m[0] if m[0][0] == "\\" else mark
+
     out, at = [], 0
     for a, b in sorted(spans):
         a = max(a, at)
         if b <= a:
             continue
-        out += [text[at:a], re.sub(r"[^\s\\\"'`+,;]", mark, text[a:b])]
+        out += [text[at:a], _ESCAPE.sub(put, text[a:b])]
         at = b
     return "".join(out) + text[at:]
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from tessera.llm import credentials as c
@@ -48,6 +50,59 @@ def test_not_found_in_calls(line):
     assert finder(f"first\n{line}\nlast") == []
 
 
+@pytest.mark.parametrize("line", ['x = "Vq83kTzP0wLmR5yXc9bNd27HsJfGa4"', "relay = Vq83kTzP0wLmR5yXc9bNd27HsJfGa4", 'call(1, "Vq83kTzP0wLmR5yXc9bNd27HsJfGa4")', 'password = "a7Kq9"', "dsn = postgres://u:Ab1@h/db", "pwd: 'q9X!'", 'secret = "qzkvwxjhpt"', 'pass = "zkQvxWjh"'])
+def test_found_by_the_measure_alone(line):
+    assert [n for n, _ in finder(f"first\n{line}\nlast")] == [2]
+    assert finder(c.redact(line, [s for _, spans in finder(line) for s in spans])) == []
+    assert c.Finder(f"{c.TOKENIZERS}/byte_bpe_50k.tiktoken", 0, 0, 0)(line) == []
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        'x = "Vq83kTzP0wLmR5yXc9bNd27HsJfGa4", "Zt83kTzP0wLmR5yXc9bNd27HsJfGa4",\n  "Aq83kTzP0wLmR5yXc9bNd27HsJfGa4"'.replace("x = ", ""), 'contentHash = "Vq83kTzP0wLmR5yXc9bNd27HsJfGa4"', "b = data:image/png;base64,Vq83kTzP0wLmR5yXc9bNd27HsJfGa4", 'x = "loadPathSegment2FromTracker9Value"', 'x = "5af986b03aa2e8122a7efc72d0936a03200929cd"',
+        'p = "/opt/Vq83/lib2/kTz/Python3.11/site"', 'password = "admin"', 'pass = "through"', 'password = "none"', "redis://user:password@h/0", 'token = "next"',
+    ],
+)
+def test_natural_or_told_otherwise(line):
+    assert len(finder(line)) <= (1 if line.count("kTzP0") > 1 else 0)
+
+
+def test_the_measure_decides():
+    """Without it names alone would take what is no credential."""
+    lines = ['segment.expandToken(step, "partial")', "# api key rotation: see load_bucket", 'password = "wordless-keeper"', 'auth = "plain-reader"']
+    off = c.Finder(f"{c.TOKENIZERS}/byte_bpe_50k.tiktoken", 99, 99, 99)
+    assert all(off(x) for x in lines) and not any(finder(x) for x in lines)
+
+
+def test_long_lines_as_short_ones():
+    for pad in (10, 1_000, 30_000, 200_000):
+        text = "// " + "word " * (pad // 5) + "the password is 3Dortak?yarkel89"
+        assert [n for n, _ in finder(text)] == [1]
+        text = "x=[" + "1," * (pad // 2) + '];y={password:"Tuldor5218!tullo"};' + "z(1);" * (pad // 5) + 'connect("u","5Taksto?zinist90")'
+        assert c.redact(text, [s for _, spans in finder(text) for s in spans]).count("X" * 16) == 2
+
+
+def test_hints_all_over_a_long_line():
+    began = time.time()
+    text = "".join(f'a.token{i}=f(pass,secret{i});login(u,"v{i}");' for i in range(20_000))
+    finder(text + "\n" + '"password":"a","auth":{"key":' * 20_000 + "token " * 100_000)
+    assert time.time() - began < 30
+
+
+def test_redaction_keeps_code_valid():
+    import ast
+    import json
+
+    key = "\n".join(LINES) + "\n"
+    doc = json.dumps({"type": "service_account", "private_key": key, "password": 'Tul"dor\n5218!\u00e9tu\\llo9', "note": "ok"}, indent=1)
+    out = c.redact(doc, [s for _, spans in finder(doc) for s in spans])
+    assert json.loads(out)["note"] == "ok" and json.loads(out)["private_key"].count("\n") == 4 and "MIIE" not in out and "5218" not in out and len(out) == len(doc)
+    code = "password = 'Tul\\'dor5218!\\x41\\u0042\\ntullo'\nkey = [\"\"\"" + key + '"""]\n'
+    out = c.redact(code, [s for _, spans in finder(code) for s in spans])
+    assert ast.parse(out) and "dor" not in out and "\\x58\\u0058\\n" in out and len(out) == len(code)
+
+
 def test_argument_counts_on_its_own_line():
     assert [n for n, _ in finder('c = connect(\n  "symbol_admin",\n  "5Taksto?zinist90",\n)\n')] == [3]
 
@@ -116,8 +171,6 @@ def test_literal_that_does_not_go_on(text):
 
 
 def test_very_long_joins_are_linear():
-    import time
-
     parts = "".join(f' +\n  "{i}kQz"' for i in range(20_000))
     began = time.time()
     found = finder(f'token_1 = "7Tul"{parts}\n')
