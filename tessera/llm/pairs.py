@@ -4,13 +4,13 @@ Training needs no labels.  From a bounded sample of ``SAMPLE_ROWS`` pairs it mak
 defective ones - answers cut off at a random place, emptied, replaced by the
 question in another dress, by an answer to a question of another language, or by
 a refusal - and learns one logistic output per defect against the pairs as they
-are, over hashed word n-grams of the answer and features of the pair (how the
-answer ends, how much of it only repeats the question, which languages both are
-in, how much of it declines).  One half of the sample trains, the other half sets
-each output's threshold where its F1 is best, and an exact
-check drops outputs of which the pair shows no sign at all.  The refusal output also
-trains on refusals whose listed wording is hidden, and may flag any answer without
-substance (no code, name or digit, neither long nor a single word), whatever its wording.
+are.  Inputs are hashed n-grams (words and word pairs of the answer, its last
+characters, and its words crossed with the language of the question) and features
+of the pair (how the answer ends, how much of it only repeats the question, which
+languages both are in, whether it bars the speaker from something).  One half of the sample trains,
+the other half sets each output's threshold where its F1 is best.  The outputs
+decide, but for emptiness, which is exact.  The refusal output also trains on
+refusals whose words are hidden.
 
 Edge cases: a null answer counts as empty; a null question has no words, so only
 emptiness, refusal and truncation can show; every row gets at most one defect,
@@ -24,9 +24,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 1_600
-HASHED = 1 << 11
+HASHED = 1 << 12
 DEFECTS = ["empty", "truncated", "refusal", "copy", "language"]
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
-_CODE = re.compile(r"`[^`\n]*`|https?://\S+|\b[\w.-]*(?:/[\w.-]+)+|\b\w+[_.]\w[\w.]*|\b[a-z]+[A-Z]\w*|\b(?:[A-Z][a-z]+){2,}\w*")
+_TICKS = re.compile(r"`[^`\n]*`")
+_CODE = re.compile(r"https?://\S+|\b[\w.-]*(?:/[\w.-]+)+|\b\w+[_.]\w[\w.]*|\b[a-z]+[A-Z]\w*|\b(?:[A-Z][a-z]+){2,}\w*")
 _TAGS = re.compile(r"<[^<>]{0,40}>|&nbsp;|&#\d+;")
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s*(?=\S)|\n+")
@@ -46,7 +45,7 @@ _QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^
 
 #: Function words that tell the language of Latin-script prose.
 STOP = {
-    "en": "the is are was were be been of and to in that it for with as by on this which who what where when why how does do did not can you your have has from or if then than there its an at all each only because after before called look see yes work me show explain i".split(),
+    "en": "no the is are was were be been of and to in that it for with as by on this which who what where when why how does do did not can you your have has from or if then than there its an at all each only because after before called look see yes work me show explain i".split(),
     "de": "der die das den dem des ein eine einen einem einer ist sind war und oder nicht mit von zu auf für im in aus bei wie was wo wer wird werden kann man sich es er sie wenn dass als nach vor über durch nur sobald solange ja was warum welche welcher welches mir zugleich etwa dabei".split(),
     "es": "el la los las un una unos unas es son de del que y o no con por para en se lo al como qué cuál dónde quién cuándo cuando si su sus más pero esta este ese eso cada sólo solo sí puede puedes tras cerca también le cómo ya".split(),
     "fr": "le la les un une des du de est sont et ou ne pas avec par pour dans sur en se ce cette ces que qui quoi où quand comment si son sa ses plus mais chaque seul oui peut peux elle il on au aux est-ce quelle quel lors vers si à d l s n qu".split(),
@@ -60,7 +59,7 @@ NAMES = {
     "zh": r"chinese|mandarin|chinesisch\w*|chino|chinois\w*|中文|汉语|普通话",
 }
 _NAMES = {k: re.compile(rf"(?<!\w)(?:{v})(?!\w)" if k != "zh" else v, re.I) for k, v in NAMES.items()}
-#: Wording of declining, per language.
+#: Wording of declining, per language: answers so worded are no examples of answers that do not decline.
 DECLINE = re.compile(
     r"(?:\b(?:can ?not|can't|could not|am not able to|'m not able to|am unable to|not something i can|have to decline|must decline|would rather not|won't|will not|not allowed to|not permitted to|outside of what i am allowed|refuse to)\b[^.!?\n]{0,60}?(?:\b(?:help|assist|answer|discuss|go into|respond|comply|provide|share|support|decline|do|with|allowed)\b|$))|(?:\bi (?:have to|must) (?:decline|refuse)|i am not able to answer|i would rather not|outside of what i am allowed)"
     r"|(?:\bkann (?:ich )?(?:\w+ ){0,3}nicht (?:helfen|beantworten|antworten)|nicht helfen|keine auskunft|muss ich ablehnen|ich muss (?:\w+ ){0,3}ablehnen|darf ich (?:\w+ ){0,3}nicht|darf nicht|möchte (?:ich )?(?:\w+ ){0,3}nicht|lehne ich ab|nicht beantworten)"
@@ -103,25 +102,63 @@ def bare(text: str) -> str:
     return "".join(_WORD.findall(unicodedata.normalize("NFKC", text).casefold()))
 
 
+class Kept(dict):
+    """Results by word, worked out once; forgotten when there are too many."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, word: str):
+        out = self.make(word)
+        if len(word) < 40:
+            if len(self) > 1 << 18:
+                self.clear()
+            self[word] = out
+        return out
+
+
+#: What is left of a piece without blanks if code is taken out.
+_PLAIN = Kept(lambda piece: _CODE.sub(" ", piece))
+
+
 def prose(text: str) -> str:
-    return _CODE.sub(" ", _FENCE.sub(" ", text))
+    if "```" in text:
+        text = _FENCE.sub(" ", text)
+    if "`" in text:
+        text = _TICKS.sub(" ", text)
+    return " ".join(map(_PLAIN.__getitem__, text.split(" ")))
 
 
-def language(text: str) -> tuple[str | None, float]:
-    """The language of the prose and how sure that is (0 to 1)."""
-    text = prose(text)
-    han = 0 if text.isascii() else sum("一" <= c <= "鿿" for c in text)
-    words = Counter(w.lower() for w in re.findall(r"[^\W\d_]+", text) if not "一" <= w[0] <= "鿿")
-    special = Counter(c for w, n in words.items() if not w.isascii() for c in w * n)
-    hits = {k: sum(n for w, n in words.items() if w in s) + 1.5 * sum(n for c, n in special.items() if c in extra) for k, (s, extra) in _STOP.items()}
-    hits["zh"] = han / 1.5
-    (best, n), (_, second) = Counter(hits).most_common(2)
+_STOP = {"en": (set(STOP["en"]), ""), "de": (set(STOP["de"]), "äöüß"), "es": (set(STOP["es"]), "ñ¿¡óíá"), "fr": (set(STOP["fr"]), "èêçàùœ")}
+_LANGUAGES = [*_STOP, "zh"]
+_LETTERS, _HAN = re.compile(r"[^\W\d_]+"), re.compile(r"[一-鿿]")
+
+
+#: For a lower-case word the languages it tells of, as (number, weight).
+_TELLS = Kept(lambda w: tuple((i, n) for i, (words, letters) in enumerate(_STOP.values()) if (n := (w in words) + (0 if w.isascii() else 1.5 * sum(c in letters for c in w)))))
+
+
+def spoken(text: str, words: list[str]) -> tuple[str | None, float]:
+    """The language of prose and how sure that is (0 to 1), by its lower-case words."""
+    hits = [0.0] * 5
+    for w in words:
+        for i, n in _TELLS[w]:
+            hits[i] += n
+    if not text.isascii():
+        hits[4] = len(_HAN.findall(text)) / 1.5
+    n = max(hits)
     if n < 1:
         return None, 0.0
-    return best, float((n - second) / (n + second + 0.5))
+    best = hits.index(n)
+    hits[best] = -1.0
+    second = max(hits)
+    return _LANGUAGES[best], (n - second) / (n + second + 0.5)
 
 
-_STOP = {"en": (set(STOP["en"]), ""), "de": (set(STOP["de"]), "äöüß"), "es": (set(STOP["es"]), "ñ¿¡óíá"), "fr": (set(STOP["fr"]), "èêçàùœ")}
+def language(text: str) -> tuple[str | None, float]:
+    """The language of the prose and how sure that is (0 to 1)."""
+    text = prose(text)
+    return spoken(text, _LETTERS.findall(text.lower()))
 
 
 def ending(answer: str) -> tuple[float, ...]:
@@ -151,71 +188,86 @@ def ending(answer: str) -> tuple[float, ...]:
     return float(fence), row, mark, float(not closed and not fence and not row), dangling, float(closed)
 
 
-def refusal(answer: str) -> tuple[float, ...]:
-    """Share of the sentences that decline, whether any does, and words of the others."""
-    text = _QUOTED.sub(" ", prose(answer)).replace("’", "'")
-    parts = [s for s in _SENTENCE.split(text) if _WORD.search(s)]
-    if not parts:
-        return 0.0, 0.0, 0.0
-    declining = [bool(DECLINE.search(s)) and not re.search(r"\bbut\b(?!.{0,30}(?:cannot|can't|not able|unable|decline|rather not|not something|outside))|;", s, re.I) for s in parts]
-    other = sum(len(s) for s, d in zip(parts, declining) if not d and not _COURTESY.search(s))
-    return sum(declining) / len(parts), float(any(declining)), min(other, 200) / 200
-
-
 _UNIT = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
+_NUMBER = re.compile(r"\d")
 
 
-def signs(answer: str) -> tuple[float, ...]:
+def signs(answer: str, text: str) -> tuple[float, ...]:
     """Whether a sentence bars the speaker from something, says from what, or is sorry for it; whether the answer lacks substance."""
-    plain = not (_CODE.search(answer) or _FENCE.search(answer) or re.search(r"\d", answer)) and len(answer) <= 300 and len(_UNIT.findall(answer)) > 1
-    parts = [x for x in _SENTENCE.split(_QUOTED.sub(" ", prose(answer)).replace("’", "'")) if _WORD.search(x)]
-    if not parts or not plain:
+    if len(answer) > 300 or _NUMBER.search(answer) or "```" in answer or len(text) < len(answer) or text != answer.replace("’", "'") or len(_UNIT.findall(answer)) < 2:
         return 0.0, 0.0, 0.0, 0.0
-    found = [[bool(r.search(x)) for r in SIGNS] for x in parts]
-    barred = [f for f in found if f[1]]
-    own = [sum(f) for f in barred if f[0]]
-    sorry = any(_COURTESY.search(x) for x in parts)
-    return float(bool(own)), float(any(n >= 3 for n in own)), float(sorry and bool(barred)), 1.0
+    parts = [x for x in _SENTENCE.split(_QUOTED.sub(" ", text)) if _WORD.search(x)]
+    if not parts:
+        return 0.0, 0.0, 0.0, 0.0
+    found = [[True, True, *(bool(r.search(x)) for r in SIGNS[2:])] if SIGNS[1].search(x) and SIGNS[0].search(x) else None for x in parts]
+    own = [sum(f) for f in found if f]
+    sorry = bool(_COURTESY.search(text)) and any(SIGNS[1].search(x) for x in parts)
+    return float(bool(own)), float(any(n >= 3 for n in own)), float(sorry), 1.0
+
+
+def _slot_of(gram: str) -> int:
+    return zlib.crc32(gram.encode("utf-8", "replace")) % HASHED
 
 
-def pair_features(question: str | None, answer: str | None) -> list[float]:
+_SLOT = Kept(_slot_of)
+_TOKEN = re.compile(r"[一-鿿]|[^\W\d_一-鿿]+|\d|[^\w\s]")
+#: Numbers of the pair features below, and of those that tell of refusals.
+NUMBERS, ANY_WORDING = 25, slice(19, 23)
+
+
+def features(question: str | None, answer: str | None) -> tuple[list[float], list[int]]:
+    """Features of the pair, and the slots of its n-grams."""
     q, a = question or "", answer or ""
-    visible = bare(_TAGS.sub("", a))
-    qb = bare(q)
+    low = a.casefold()
+    tokens = _TOKEN.findall(low)
+    plain = prose(a).replace("’", "'")
+    words = _LETTERS.findall(plain.lower())
+    q_low = q.casefold()
+    q_words = _WORD.findall(q_low)
+    a_words = _WORD.findall(_TAGS.sub("", low) if "<" in low or "&" in low else low)
+    visible, qb = "".join(a_words), "".join(q_words)
+    if not (a.isascii() and q.isascii()):
+        visible, qb = bare(visible), bare(qb)
     rest = visible.replace(qb, "") if len(qb) > 5 else visible
-    q_words, a_words = set(_WORD.findall(q.casefold())), _WORD.findall(a.casefold())
-    cover = sum(w in q_words for w in a_words) / len(a_words) if a_words else 0.0
-    ql, qs = language(q)
-    al, as_ = language(a)
-    other = float(ql is not None and al is not None and ql != al)
-    asked = float(al is not None and al != ql and bool(_NAMES[al].search(q)))
-    no, any_no, others = refusal(a)
-    empty = float(not visible)
-    repeats = float(len(qb) > 5 and qb in visible and len(rest) <= 0.1 * len(qb) + 1)
-    return [
-        empty, repeats, cover, float(cover > 0.9), min(len(rest), 300) / 300,
-        other * (1 - asked) * min(qs, as_), other * (1 - asked) * float(min(qs, as_) > 0.3), other * asked, qs, as_,
-        no, any_no, others, float(any_no and others < 0.12),
-        *((0.0,) * 6 if empty else ending(a)), min(len(a), 500) / 500, float(a.count("```") > 0), *signs(a),
+    known = set(q_words)
+    cover = sum(w in known for w in a_words) / len(a_words) if a_words else 0.0
+    ql, qs = spoken(q, _LETTERS.findall(prose(q_low)))
+    al, as_ = spoken(plain, words)
+    other = ql is not None and al is not None and ql != al
+    asked = other and bool(_NAMES[al].search(q))
+    empty = not visible
+    repeats = len(qb) > 5 and qb in visible and len(rest) <= 0.1 * len(qb) + 1
+    sure = min(qs, as_) if other and not asked else 0.0
+    numbers = [
+        empty, repeats, cover, cover > 0.9, min(len(rest), 300) / 300,
+        sure, sure > 0.3, asked, qs, as_,
+        min(len(plain.strip()), 200) / 200,
+        *((0.0,) * 6 if empty else ending(a)), min(len(a), 500) / 500, "```" in a, *signs(a, plain), al is None, al is not None and al == ql,
     ]
+    slot = _SLOT
+    slots = {slot[w] for w in tokens}
+    slots.update(slot[f"{x} {y}"] for x, y in zip(tokens, tokens[1:]))
+    tail = low.rstrip()[-8:]
+    slots.update(slot["$" + tail[i:]] for i in range(len(tail)))
+    slots.update(slot[f"{ql}>{w}"] for w in set(words))
+    return numbers, [*slots]
 
 
-@lru_cache(maxsize=1 << 17)
-def _slot(gram: str) -> int:
-    return zlib.crc32(gram.encode("utf-8", "replace")) % HASHED
-
-
-def ngrams(answer: str | None) -> np.ndarray:
-    words = re.findall(r"[^\W\d_]+|\d|[^\w\s]", (answer or "").casefold())
-    words = [c for w in words for c in (w if "一" <= w[0] <= "鿿" else (w,))]
-    grams = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
-    x = np.bincount(np.fromiter(map(_slot, grams), np.int64, len(grams)), minlength=HASHED).astype(np.float32)
-    norm = float(np.sqrt((x * x).sum()))
-    return x / norm if norm else x
+def matrix(pairs: list[tuple[str | None, str | None]]) -> np.ndarray:
+    """A row of inputs for each pair."""
+    x = np.zeros((len(pairs), NUMBERS + HASHED + 1), np.float32)
+    for row, (q, a) in zip(x, pairs):
+        numbers, slots = features(q, a)
+        row[:NUMBERS] = numbers
+        if slots:
+            row[NUMBERS + np.array(slots)] = GRAMS / len(slots) ** 0.5
+    x[:, :NUMBERS] *= 4
+    x[:, -1] = 1
+    return x
 
 
-def vector(question: str | None, answer: str | None) -> np.ndarray:
-    return np.concatenate([4 * np.array(pair_features(question, answer), np.float32), 0.2 * ngrams(answer), [1.0]]).astype(np.float32)
+#: Weight of all n-grams of an answer together.
+GRAMS = 0.6
 
 
 def spoiled(rows: list[tuple[str, str]], rng: np.random.Generator) -> list[tuple[str | None, str | None, int]]:
@@ -233,19 +285,32 @@ def spoiled(rows: list[tuple[str, str]], rng: np.random.Generator) -> list[tuple
                     break
         lang = langs[i] if rng.random() < 0.9 and langs[i] else pick(list(REFUSALS))
         out.append((q, "".join(pick(p) for p in REFUSALS[lang]), 2))
-        dress = int(rng.integers(7))
         s = q.strip()
-        out.append((q, [s, s.upper(), s.lower(), f'"{s}"', s.rstrip("?？ ") + ".", f"Q: {s}", f"> {s}\n"][dress], 3))
-        j = int(rng.integers(len(rows)))
-        if langs[i] and langs[j] and langs[i] != langs[j] and not _NAMES[langs[j]].search(q) and len(a) > 40:
-            out.append((q, rows[j][1], 4))
+        mute = s.rstrip("?？ ")
+        out.append((q, pick([s, s.upper(), s.lower(), f'"{s}"', mute + ".", f"Q: {s}", f"> {s}\n", mute, mute.upper(), f"{s}\n{s}"]), 3))
+        other = rows[int(rng.integers(len(rows)))][1]
+        spoken_ = language(other)[0]  # a bare value has none
+        if langs[i] and spoken_ and langs[i] != spoken_ and not _NAMES[spoken_].search(q):
+            out.append((q, other, 4))
     return out
 
 
-#: Features that know the wordings of DECLINE, and of those the one that counts what is left.
-LISTED, LEFT = slice(10, 14), 12
-#: Features that tell of refusals in any wording; the last is that an answer lacks substance.
-ANY_WORDING, BARE = slice(22, 26), 25
+#: How a question asks for an answer in a language.
+ASKING = {
+    "en": ["Answer in English.", "auf Englisch", "en inglés", "en anglais", "请用英语回答"], "de": ["Answer in German.", "auf Deutsch", "en alemán", "en allemand", "请用德语回答"],
+    "es": ["Answer in Spanish.", "auf Spanisch", "en español", "en espagnol", "请用西班牙语回答"], "fr": ["Answer in French.", "auf Französisch", "en francés", "en français", "请用法语回答"],
+    "zh": ["Answer in Chinese.", "auf Chinesisch", "en chino", "en chinois", "请用中文回答"],
+}
+
+
+def asking(rows: list[tuple[str, str]], rng: np.random.Generator) -> list[tuple[str, str]]:
+    """Good pairs whose question asks for the language of the answer."""
+    out = []
+    for q, _ in rows[::4]:
+        answer = rows[int(rng.integers(len(rows)))][1]
+        if spoken_ := language(answer)[0]:
+            out.append((f"{q} {ASKING[spoken_][int(rng.integers(5))]}", answer))
+    return out
 
 
 def built_in() -> list[tuple[str, str]]:
@@ -260,21 +325,21 @@ def built_in() -> list[tuple[str, str]]:
 
 
 class Classifier:
-    def __init__(self, rows: list[tuple[str, str]], rounds: int = 160, ridge: float = 1e-4):
+    def __init__(self, rows: list[tuple[str, str]], rounds: int = 60, ridge: float = 1e-4):
+        self.ready = True
         rng = np.random.default_rng(11)
         rows = [(q, a) for q, a in rows if q and a]
-        self.ready = len(rows) >= 20
-        if not self.ready:
-            return
+        if len(rows) < FILL:
+            rows = sorted(rows + built_in()[len(rows) :], key=lambda r: zlib.crc32("\n".join(r).encode("utf-8", "replace")))
         half = len(rows) // 2
         (gx, bx, by, more), (hgx, hbx, hby, hmore) = (self._examples(part, rng) for part in (rows[:half], rows[half:]))
         # pairs as they are hold some defects: what a first fit finds is left out of the second
-        w = self._weights(gx, bx, by, more, rounds, ridge)
+        w = self._weights(gx, bx, by, more, rounds // 2, ridge)
         gx, hgx = gx[self._p(gx, w).max(1) < 0.5], hgx[self._p(hgx, w).max(1) < 0.5]
         self.weights = w = self._weights(gx, bx, by, more, rounds, ridge)
-        p, y = self._checked(np.concatenate([hgx, hbx]), w), np.concatenate([np.zeros((len(hgx), len(DEFECTS)), np.float32), hby])
+        p, y = self._p(np.concatenate([hgx, hbx]), w), np.concatenate([np.zeros((len(hgx), len(DEFECTS)), np.float32), hby])
         self.thresholds = np.array([self._threshold(p[:, d], y[:, d]) for d in range(len(DEFECTS))])
-        self.thresholds[2] = self._threshold(np.concatenate([p[:, 2], self._checked(hmore[0], w)[:, 2]]), np.concatenate([y[:, 2], hmore[1]]))
+        self.thresholds[2] = self._threshold(np.concatenate([p[:, 2], self._p(hmore[0], w)[:, 2]]), np.concatenate([y[:, 2], hmore[1]]))
 
     @classmethod
     def _weights(cls, good: np.ndarray, bad: np.ndarray, y: np.ndarray, more: tuple[np.ndarray, np.ndarray], rounds: int, ridge: float) -> np.ndarray:
@@ -283,6 +348,7 @@ class Classifier:
         refusal = cls._fit(np.concatenate([x, more[0]]), np.concatenate([y[:, 2], more[1]])[:, None], rounds, ridge)
         x[:, ANY_WORDING] = 0
         w = cls._fit(x, y, rounds, ridge)
+        w[ANY_WORDING] = 0
         w[:, 2:3] = refusal
         return w
 
@@ -291,22 +357,19 @@ class Classifier:
         bad = spoiled(rows, rng)
         y = np.zeros((len(bad), len(DEFECTS)), np.float32)
         y[np.arange(len(bad)), [d for *_, d in bad]] = 1
-        x = np.stack([vector(q, a) for q, a, _ in bad])
-        return np.stack([vector(q, a) for q, a in rows]), x, y, cls._more(rows, [a for _, a, d in bad if d == 2], x[y[:, 2] > 0])
+        x = matrix([(q, a) for q, a, _ in bad])
+        return matrix(rows + asking(rows, rng)), x, y, cls._more(rows, x[y[:, 2] > 0])
 
     @staticmethod
-    def _more(rows: list[tuple[str, str]], refusals: list[str], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Further examples for the refusal output: refusals as if no list worded them, every
-        other one as if none of its words were known, answers that begin as a refusal does but
-        go on, and answers of which no word is known."""
-        words = slice(-1 - HASHED, -1)
-        new = x.copy()
-        new[:, LISTED] = 0
-        new[:, LEFT] = 4 * np.array([min(len(a), 200) / 200 for a in refusals], np.float32)
-        new[::2, words] = 0
-        going = [vector(q, REFUSALS[language(a)[0] or "en"][0][0] + a) for q, a in rows[::4]]
-        plain = [vector(q, a) for q, a in rows if not DECLINE.search(a)]
-        other = np.stack(going + plain)
+    def _more(rows: list[tuple[str, str]], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Further examples for the refusal output: refusals of which no word is known, answers
+        that begin as a refusal does but go on, and answers of which no word is known."""
+        words = slice(NUMBERS, -1)
+        new = x[::2].copy()
+        new[:, words] = 0
+        going = [(q, REFUSALS[language(a)[0] or "en"][0][0] + a) for q, a in rows[::4]]
+        plain = [(q, a) for q, a in rows if not DECLINE.search(a)]
+        other = matrix(going + plain)
         other[len(going) :, words] = 0
         return np.concatenate([new, other]), np.repeat(np.float32([1, 0]), [len(new), len(other)])
 
@@ -314,21 +377,44 @@ class Classifier:
     def _p(x: np.ndarray, w: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
 
-    @classmethod
-    def _checked(cls, x: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Outputs, zero where the pair shows nothing of the defect: an exact check that follows the model.
-        Of refusals it drops those with substance that no listed wording declines."""
-        empty, closed = x[:, 0] > 0, x[:, 19] > 0
-        shows = np.stack([empty, ~closed & ~empty, (x[:, 11] > 0) | (x[:, BARE] > 0), x[:, 1] > 0, x[:, 5] > 0], axis=1)
-        return cls._p(x, w) * shows
-
-    @classmethod
-    def _fit(cls, x: np.ndarray, y: np.ndarray, rounds: int, ridge: float) -> np.ndarray:
-        w, v = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros((x.shape[1], y.shape[1]), np.float32)
+    @staticmethod
+    def _fit(x: np.ndarray, y: np.ndarray, rounds: int, ridge: float, memory: int = 8) -> np.ndarray:
+        """Logistic weights by the quasi-Newton method of limited memory."""
+        shape = (x.shape[1], y.shape[1])
+
+        def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+            z = x @ w.reshape(shape)
+            value = np.logaddexp(0, z).sum() - (z * y).sum()
+            gradient = x.T @ (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+            return float(value) / len(x) + ridge / 2 * float(w @ w), (gradient / len(x)).ravel() + ridge * w
+
+        w = np.zeros(shape[0] * shape[1], np.float32)
+        value, g = loss(w)
+        kept: list[tuple[np.ndarray, np.ndarray, float]] = []
         for _ in range(rounds):
-            v = 0.9 * v - (x.T @ (cls._p(x, w) - y) / len(x) + ridge * w)
-            w += 0.8 * v
-        return w
+            d, alphas = g.copy(), []
+            for s, t, r in reversed(kept):
+                alphas.append(r * float(s @ d))
+                d -= alphas[-1] * t
+            if kept:
+                s, t, _ = kept[-1]
+                d *= float(s @ t) / float(t @ t)
+            for (s, t, r), al in zip(kept, reversed(alphas)):
+                d += (al - r * float(t @ d)) * s
+            step, slope = 1.0, float(g @ d)
+            while True:
+                new, new_g = loss(w - step * d)
+                if new <= value - 1e-4 * step * slope or step < 1e-4:
+                    break
+                step /= 2
+            s, t = -step * d, new_g - g
+            if float(s @ t) > 1e-10:
+                kept = [*kept, (s, t, 1 / float(s @ t))][-memory:]
+            done = value - new < 1e-7
+            w, value, g = w + s, new, new_g
+            if done:
+                break
+        return w.reshape(shape).astype(np.float32)
 
     @staticmethod
     def _threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -336,27 +422,32 @@ class Classifier:
         hit = np.array([((p > t) & (y > 0)).sum() for t in steps])
         f1 = 2 * hit / np.maximum(1, np.array([(p > t).sum() for t in steps]) + y.sum())
         best = np.flatnonzero(f1 >= f1.max() - 0.002)
-        return float(steps[best[len(best) // 3]])
+        return float(steps[best[len(best) // 2]])
 
     def __call__(self, pairs: list[tuple[str | None, str | None]]) -> list[str | None]:
-        if not self.ready or not pairs:
+        if not pairs or not self.ready:
             return [None] * len(pairs)
-        x = np.stack([vector(q, a) for q, a in pairs])
-        p = self._checked(x, self.weights)
-        over = (p - self.thresholds) / (1 - self.thresholds)
+        found = [features(q, a) for q, a in pairs]
+        numbers = np.array([n for n, _ in found], np.float32)
+        sizes = np.array([len(s) for _, s in found])
+        grams = self.weights[NUMBERS + np.array([i for _, s in found for i in s], np.int64)]
+        sums = np.zeros((len(pairs), len(DEFECTS)), np.float32)
+        some = sizes > 0  # an empty answer has no n-grams
+        sums[some] = np.add.reduceat(grams, (np.cumsum(sizes) - sizes)[some]) if some.any() else 0
+        z = 4 * numbers @ self.weights[:NUMBERS] + sums * (GRAMS / np.sqrt(np.maximum(1, sizes)))[:, None] + self.weights[-1]
+        over = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - self.thresholds) / (1 - self.thresholds)
         best = over.argmax(1)
-        # emptiness and copies have exact signs, whatever the sample held
-        return ["empty" if x[i, 0] > 0 else "copy" if x[i, 1] > 0 else DEFECTS[b] if over[i, b] > 0 else None for i, b in enumerate(best)]
+        # emptiness is exact
+        return ["empty" if numbers[i, 0] else DEFECTS[b] if b and over[i, b] > 0 else None for i, b in enumerate(best)]
 
 
 def train(pairs: DataFrame, key: str = "id", question: str = "question", answer: str = "answer", limit: int = SAMPLE_ROWS) -> Classifier:
     """From a sample by the hash of the key, of at most ``limit`` pairs; built-in ones fill it up to FILL."""
     some = pairs.where(F.col(question).isNotNull() & (F.length(F.trim(answer)) > 1)).select(key, question, answer)
     rows = some.orderBy(F.xxhash64(key), key).limit(limit).collect()
-    usable = list({r[0]: (r[1], r[2]) for r in rows}.values())
-    if len(usable) < FILL and (usable or pairs.limit(1).count()):  # few usable pairs, which may be just what is wrong
-        usable = sorted(usable + built_in()[len(usable) :], key=lambda r: zlib.crc32("\n".join(r).encode("utf-8", "replace")))
-    return Classifier(usable)
+    model = Classifier(list({r[0]: (r[1], r[2]) for r in rows}.values()))
+    model.ready = bool(rows or pairs.limit(1).count())
+    return model
 
 
 def broken_pairs(pairs: DataFrame, model: Classifier, key: str = "id", question: str = "question", answer: str = "answer") -> DataFrame:

@@ -48,7 +48,7 @@ CASES = [
 
 def test_cases(model):
     got = model([(q, a) for q, a, _ in CASES])
-    assert [d == w for d, (_, _, w) in zip(got, CASES)].count(False) <= 1, list(zip(got, CASES))
+    assert got == [w for *_, w in CASES]
 
 
 #: Wordings that neither DECLINE nor the made refusals hold.
@@ -74,9 +74,8 @@ def test_refusals_of_unlisted_wordings(model):
 def test_held_out_synthetic_accuracy(spark, sf, model):
     rows = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/query_logs.parquet").where("generation_mode = 'service' and length(answer) > 60").orderBy("id").limit(250).collect()
     bad = pairs.spoiled([(r["question"], r["answer"]) for r in rows if r["question"]], np.random.default_rng(99))
-    bad = [b for b in bad if b[2] != 4 or pairs.language(b[1])[1] > 0.3]
     got = model([(q, a) for q, a, _ in bad])
-    assert sum(g == pairs.DEFECTS[d] for g, (_, _, d) in zip(got, bad)) >= 0.93 * len(bad)
+    assert sum(g == pairs.DEFECTS[d] for g, (_, _, d) in zip(got, bad)) >= 0.96 * len(bad)
 
 
 def test_table(spark, model):
@@ -88,6 +87,22 @@ def test_table(spark, model):
     assert pairs.broken_pairs(df, pairs.train(df.limit(0))).count() == 0
 
 
+def test_inputs_decide(spark, sf):
+    """Without n-grams, or without pair features, refusals in other words and the rest get worse."""
+    rows = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/query_logs.parquet").where("generation_mode = 'service' and length(answer) > 60").orderBy("id").limit(300).collect()
+    rows = [(r["question"], r["answer"]) for r in rows if r["question"]]
+    bad = pairs.spoiled(rows[:150], np.random.default_rng(5))
+    want = [pairs.DEFECTS[d] for *_, d in bad]
+
+    def right(cut: slice) -> float:
+        model = pairs.Classifier(rows[150:])
+        model.weights[cut] = 0
+        return sum(g == w for g, w in zip(model([b[:2] for b in bad]), want)) / len(bad)
+
+    whole = right(slice(0, 0))
+    assert whole > 0.95 and right(slice(0, pairs.NUMBERS)) < whole - 0.1 and right(slice(pairs.NUMBERS, -1)) < whole
+
+
 def test_few_usable_pairs(spark):
     bad = [(i, q, a) for i, (q, a, d) in enumerate(CASES) if d in ("empty", "copy", "truncated", "refusal")]
     want = {i: d for i, (_, _, d) in enumerate(CASES) if d in ("empty", "copy", "truncated", "refusal")}
