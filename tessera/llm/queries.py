@@ -62,7 +62,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    return vptree.nearest(table(spark, sf, "chunk_embeddings"))
+    return vptree.nearest(table(spark, sf, "chunk_embeddings")).withColumn("distance", F.round("distance", 6))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,15 +102,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _WINDOWS = "(select {k}, array_to_string(list_slice(w, i, i + 11), ' ') win from (select {k}, w, unnest(range(1, len(w) - 10)) i from (select {k}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') w from {t} where text is not null) where len(w) >= 12))"
+_NEAR = """with v as (select vec_id, min(embedding) e from chunk_embeddings where len(embedding) = 64 group by vec_id),
+p as (select a.vec_id a, b.vec_id b, list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double))) s from v a join v b on a.vec_id <> b.vec_id),
+d as (select *, row_number() over (partition by a order by s, b) n from p)"""
 
 ORACLE = {
     "p3_found": f"""with f as (select distinct file_id, content, coalesce(s.chunk_size, (select chunk_size from parser_settings where language is null)) size
   from source_files left join parser_settings s using (language) where content is not null),
 r as (select file_id, size, list_transform(string_split_regex(content, '{_SPACE}'), lambda x: length(x)) l from f)
 select file_id, case when list_max(l) > size then 'forced' else 'natural' end cut from r where list_sum(l) > size""",
-    "p6_found": """with v as (select vec_id, any_value(embedding) e from chunk_embeddings where len(embedding) = 64 group by vec_id),
-d as (select a.vec_id a, b.vec_id b, row_number() over (partition by a.vec_id order by list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double))), b.vec_id) n from v a join v b on a.vec_id <> b.vec_id)
-select distinct least(a, b) vec_low, greatest(a, b) vec_high from d where n <= 5""",
+    "p6_found": f"{_NEAR} select distinct least(a, b) vec_low, greatest(a, b) vec_high from d where n <= 5",
+    "p6_nearest": f"{_NEAR} select a vec_id, b neighbour, round(sqrt(s), 6) distance, n::int rank from d where n <= 5",
     "p9_found": f"select distinct doc_id, item_id from {_WINDOWS.format(k='doc_id', t='documents')} join {_WINDOWS.format(k='item_id', t='eval_items')} using (win)",
 }
 

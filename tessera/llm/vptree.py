@@ -1,15 +1,18 @@
 """The k most similar vectors for every vector, by vantage-point trees.
 
-A routing tree over a bounded sample of ``SAMPLE_ROWS`` vectors cuts the space
-into regions of about equal numbers of rows; every row of the table is routed to
-its region, and regions with more than ``SHARD_ROWS`` rows are split by a hash.
-Each shard builds its own tree.  First every vector searches the shard it lies
-in, which bounds the distance of its k-th neighbour.  With that bound the
-triangle inequality tells which other regions may hold a nearer vector; only
-those are searched, and the candidates of all shards are merged.
-
-``factor`` relaxes the pruning: a subtree is left out when its lower bound times
-the factor reaches the present k-th distance.  Factor 1 is exact.
+Vantage points from a bounded sample cut the space into cells, each of the vectors
+nearest to its point.  A tree over the points groups the cells into regions of at
+most ``SHARD_ROWS`` rows by the cells' true counts; a region that cannot be cut
+further (many equal or very close vectors) is split by a hash beyond ``SPLIT_ROWS``.
+Each shard builds its own vantage-point tree.  First every vector searches the
+shard it lies in, which bounds the distance of its k-th neighbour.  With that bound
+the triangle inequality tells which other cells may hold a nearer vector: none
+nearer than the distance to the cell's point less the cell's radius, nor nearer
+than half of what the cell's point is farther than the nearest point.  Only the
+regions of those cells are searched, and the candidates of all shards are merged.
+
+``factor`` relaxes the pruning: a subtree or cell is left out when its lower bound
+times the factor reaches the present k-th distance.  Factor 1 is exact.
 
 Edge cases: vectors that are null, of another size, or hold a null or
 non-finite element take no part; each key counts once (of several rows the
@@ -24,13 +27,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 
+#: Vectors fetched for vantage points at most, and points to a region.
 SAMPLE_ROWS = 16_384
+POINTS = 16
 SHARD_ROWS = 8_192
-MAX_REGIONS = 2_048
+SPLIT_ROWS = 65_536
 QUERY_ROWS = 16_384
-LEAF = 96
+LEAF = 512
 SPARE = 8
 
 
@@ -136,58 +141,64 @@ class Search:
 
 
 class Router:
-    """The regions of a tree over the sample."""
-
-    def __init__(self, x: np.ndarray, regions: int):
-        self.x = x
-        self.root = build(x, max(4, -(-len(x) // max(1, regions))), seed=2)
-        self.regions = 0
-        stack = [self.root]
-        while stack:
-            node = stack.pop()
-            if node.rows is None:
-                stack += [node.outside, node.inside]
-            else:
-                node.region = self.regions
-                self.regions += 1
-
-    def home(self, q: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(q), np.int32)
-
-        def go(node: Node, some: np.ndarray) -> None:
-            if node.rows is not None:
-                out[some] = node.region
-                return
-            inside = np.sqrt(((q[some] - self.x[node.vp]) ** 2).sum(1)) <= node.radius
-            go(node.inside, some[inside])
-            go(node.outside, some[~inside])
-
-        if len(q):
-            go(self.root, np.arange(len(q)))
-        return out
-
-    def reach(self, q: np.ndarray, bound: np.ndarray, factor: float) -> list[tuple[int, np.ndarray]]:
-        """(region, queries whose ball may meet it)."""
+    """Cells around vantage points, and the regions they are grouped into."""
+
+    def __init__(self, points: np.ndarray):
+        self.points = np.unique(points, axis=0) if len(points) else np.zeros((1, 1))
+        self.norm = (self.points**2).sum(1)
+        self.radius = np.full(len(self.points), -np.inf)  # of an empty cell
+
+    def distances(self, q: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum((q * q).sum(1)[:, None] + self.norm - 2 * q @ self.points.T, 0))
+
+    def cells(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each vector and the distance to its point."""
+        cell, d = np.zeros(len(q), np.int32), np.zeros(len(q))
+        for a in range(0, len(q), 2048):
+            all_ = self.distances(q[a : a + 2048])
+            cell[a : a + 2048] = all_.argmin(1)
+            d[a : a + 2048] = all_.min(1)
+        return cell, d
+
+    def group(self, counts: dict[int, int], radius: dict[int, float], rows: int) -> dict[int, int]:
+        """Cut the points into regions of at most so many rows; returns the rows of each."""
+        n = np.zeros(len(self.points), np.int64)
+        for c, rows_ in counts.items():
+            n[c], self.radius[c] = rows_, radius[c]
+        self.region = np.zeros(len(self.points), np.int32)
+        rng, sizes = np.random.default_rng(2), {}
+        todo = [np.arange(len(self.points))]
+        while todo:
+            some = todo.pop()
+            part = _split(self.points, some, rng) if len(some) > 1 and n[some].sum() > rows else None
+            if part is not None:
+                todo += [some[~part[2]], some[part[2]]]
+                continue
+            self.region[some] = len(sizes)
+            sizes[len(sizes)] = int(n[some].sum())
+        self.order = np.argsort(self.region, kind="stable")
+        self.starts = np.searchsorted(self.region[self.order], np.arange(len(sizes)))
+        return sizes
+
+    def reach(self, q: np.ndarray, bound: np.ndarray, factor: float) -> np.ndarray:
+        """Whether the ball of each query may meet each region."""
         out = []
+        for a in range(0, len(q), 2048):
+            d = self.distances(q[a : a + 2048])
+            low = np.maximum(d - self.radius, (d - d.min(1)[:, None]) / 2)
+            meets = low * factor <= bound[a : a + 2048, None] * (1 + 1e-9) + 1e-6
+            out.append(np.logical_or.reduceat(meets[:, self.order], self.starts, axis=1))
+        return np.concatenate(out) if out else np.zeros((0, len(self.starts)), bool)
 
-        def go(node: Node, some: np.ndarray) -> None:
-            if not len(some):
-                return
-            if node.rows is not None:
-                out.append((node.region, some))
-                return
-            d = np.sqrt(((q[some] - self.x[node.vp]) ** 2).sum(1))
-            go(node.inside, some[(d - node.radius) * factor <= bound[some]])
-            go(node.outside, some[(node.radius - d) * factor <= bound[some]])
 
-        go(self.root, np.arange(len(q)))
-        return out
+def _usable(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    good = (F.size(vector) == size) & F.forall(vector, lambda e: e.isNotNull() & (F.abs(e) < F.lit(float("inf"))) & ~F.isnan(e))
+    return df.where(F.col(key).isNotNull() & F.coalesce(good, F.lit(False)))
 
 
 def valid_vectors(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
     """(k, v): each key once, whole vectors of ``size`` finite elements only."""
-    good = (F.size(vector) == size) & F.forall(vector, lambda e: e.isNotNull() & (F.abs(e) < F.lit(float("inf"))) & ~F.isnan(e))
-    return df.where(F.col(key).isNotNull() & F.coalesce(good, F.lit(False))).groupBy(F.col(key).alias("k")).agg(F.min(vector).alias("v"))
+    return _usable(df, key, vector, size).groupBy(F.col(key).alias("k")).agg(F.min(vector).alias("v"))
 
 
 def _matrix(v: pd.Series) -> np.ndarray:
@@ -197,67 +208,71 @@ def _matrix(v: pd.Series) -> np.ndarray:
 def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", size: int = 64, k: int = 5, factor: float = 1.0) -> DataFrame:
     """(key, neighbour, distance, rank) of the k nearest other vectors."""
     spark = df.sparkSession
-    vectors = cut(valid_vectors(df, key, vector, size))
-    total = vectors.count()
-    regions = int(np.clip(2 * total / SHARD_ROWS, min(total // 1024, 24), MAX_REGIONS)) or 1
-    fraction = min(1.0, 1.2 * SAMPLE_ROWS / max(1, total))
-    sample = vectors.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(fraction * (1 << 30))).limit(SAMPLE_ROWS).select("v").toPandas()
-    router = spark.sparkContext.broadcast(Router(_matrix(sample.v), regions))
+    vectors = valid_vectors(df, key, vector, size)
+    usable = spread(_usable(df, key, vector, size).select(F.col(key).alias("k"), F.col(vector).alias("v")))
+    total = usable.count()
+    wanted = int(np.clip(POINTS * -(-2 * total // SHARD_ROWS), POINTS, SAMPLE_ROWS))
+    fraction = min(1.0, 1.2 * wanted / max(1, total))
+    router = Router(_matrix(usable.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(fraction * (1 << 30))).limit(wanted).select("v").toPandas().v))
+
+    def measured(batches):
+        for pdf in batches:
+            cell, d = router.cells(_matrix(pdf.v))
+            yield pd.DataFrame({"cell": cell, "d": d}).groupby("cell").d.agg(["size", "max"]).reset_index()
+
+    # one row a vantage point, of which there are SAMPLE_ROWS at most
+    cells = usable.select("v").mapInPandas(measured, "cell int, size bigint, max double").groupBy("cell").agg(F.sum("size").alias("n"), F.max("max").alias("r")).collect()
+    sizes = router.group({c.cell: c.n for c in cells}, {c.cell: c.r for c in cells}, SHARD_ROWS)
+    salts = np.array([-(-n // SPLIT_ROWS) if n > SPLIT_ROWS else 1 for n in sizes.values()], np.int32)
+    shared = spark.sparkContext.broadcast((router, salts))
 
     def routed(batches):
+        router, salts = shared.value
         for pdf in batches:
-            yield pdf.assign(region=router.value.home(_matrix(pdf.v)))
-
-    placed = vectors.mapInPandas(routed, "k bigint, v array<float>, region int")
-    counts = {r["region"]: r["count"] for r in placed.groupBy("region").count().collect()}  # at most MAX_REGIONS or so
-    salts = {r: -(-n // SHARD_ROWS) for r, n in counts.items()}
-    many = F.create_map(*[F.lit(x) for r, s in salts.items() for x in (r, s)]) if salts else F.create_map(F.lit(0), F.lit(1))
-    placed = placed.withColumn("salt", F.pmod(F.xxhash64("k"), F.coalesce(many[F.col("region")], F.lit(1))).cast("int"))
-    placed = cut(placed.repartition(max(8, sum(salts.values())), "region", "salt"))
+            region = router.region[router.cells(_matrix(pdf.v))[0]]
+            yield pdf.assign(region=region, salt=(pd.util.hash_array(pdf.k.to_numpy()) % salts[region]).astype(np.int32))
 
-    found = "k bigint, n array<bigint>, d array<double>"
+    placed = vectors.mapInPandas(routed, "k bigint, v array<float>, region int, salt int").repartition(max(8, int(salts.sum())), "region", "salt")
 
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, keys = _matrix(pdf.v), pdf.k.to_numpy()
-        search, rows = Search(keys, x, k, factor), []
+        router, salts = shared.value
+        x, keys, rows, asks = _matrix(pdf.v), pdf.k.to_numpy(), [], []
+        region, salt = int(pdf.region[0]), int(pdf.salt[0])
+        search = Search(keys, x, k, factor)
+        others = np.array([(r, s) for r, n in enumerate(salts) for s in range(n)], np.int32)
+        others = others[(others[:, 0] != region) | (others[:, 1] != salt)]
         for a in range(0, len(x), QUERY_ROWS):
-            at, d = search(keys[a : a + QUERY_ROWS], x[a : a + QUERY_ROWS], np.full(min(QUERY_ROWS, len(x) - a), np.inf))
+            q = x[a : a + QUERY_ROWS]
+            at, d = search(keys[a : a + QUERY_ROWS], q, np.full(len(q), np.inf))
             rows += [([int(keys[i]) for i in ai if i >= 0], [float(e) for e in di if np.isfinite(e)]) for ai, di in zip(at, d)]
-        return pd.DataFrame({"k": keys, "v": pdf.v, "region": pdf.region, "salt": pdf.salt, "n": [r[0] for r in rows], "d": [r[1] for r in rows]})
-
-    first = cut(placed.groupBy("region", "salt").applyInPandas(own, "k bigint, v array<float>, region int, salt int, n array<bigint>, d array<double>"))
-
-    def asked(batches):
-        for pdf in batches:
-            q = _matrix(pdf.v)
-            bound = np.array([d[k - 1] if len(d) >= k else np.inf for d in pdf.d])
-            for region, some in router.value.reach(q, bound, factor):
-                if region not in salts:
-                    continue
-                for salt in range(salts[region]):
-                    ask = some[(pdf.region.to_numpy()[some] != region) | (pdf.salt.to_numpy()[some] != salt)]
-                    if len(ask):
-                        yield pd.DataFrame({"region": region, "salt": salt, "k": pdf.k.to_numpy()[ask], "v": pdf.v.to_numpy()[ask], "bound": bound[ask]})
-
-    asks = cut(first.mapInPandas(asked, "region int, salt int, k bigint, v array<float>, bound double"))
+            meets = router.reach(q, d[:, k - 1] if d.shape[1] >= k else np.full(len(q), np.inf), factor)
+            asks += [others[m].tobytes() for m in meets[:, others[:, 0]]]
+        return pd.DataFrame({"k": keys, "v": pdf.v, "region": pdf.region, "salt": pdf.salt, "n": [r[0] for r in rows], "d": [r[1] for r in rows], "asks": [np.frombuffer(b, np.int32).tolist() for b in asks]})
+
+    first = cut(placed.groupBy("region", "salt").applyInPandas(own, "k bigint, v array<float>, region int, salt int, n array<bigint>, d array<double>, asks array<int>"))
+    # the shards a vector asks, as (region, salt) one after another
+    each = F.explode(F.expr("transform(sequence(0, int(size(asks) / 2) - 1), i -> struct(asks[2 * i] as region, asks[2 * i + 1] as salt))")).alias("to")
+    asking = first.where(F.size("asks") > 0)
+    bound = F.when(F.size("d") >= k, F.element_at("d", k)).otherwise(F.lit(float("inf"))).alias("bound")
+    asks = asking.select("k", "v", bound, each).select("to.region", "to.salt", "k", "v", "bound").toDF("region", "salt", "k", "v", "bound")
     # a shard that very many ask is searched in blocks, each with a copy of the shard
-    blocks = asks.groupBy("region", "salt").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks"))
-    points = placed.join(F.broadcast(blocks), ["region", "salt"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    blocks = asking.select(each).groupBy("to.region", "to.salt").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks"))
+    points = first.select("region", "salt", "k", "v").toDF("region", "salt", "k", "v").join(F.broadcast(blocks), ["region", "salt"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     asks = asks.join(F.broadcast(blocks), ["region", "salt"]).withColumn("block", F.pmod(F.xxhash64("k"), "blocks").cast("int")).drop("blocks")
 
     def other(points: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        if not len(points) or not len(asks):
-            return pd.DataFrame({"k": [], "n": [], "d": []})
         keys, out = points.k.to_numpy(), []
+        if not len(points) or not len(asks):
+            return pd.DataFrame(out, columns=["k", "n", "d"], dtype=object)
         search = Search(keys, _matrix(points.v), k, factor)
         at, d = search(asks.k.to_numpy(), _matrix(asks.v), asks.bound.to_numpy())
         for q, ai, di in zip(asks.k.tolist(), at, d):
             if ai[0] >= 0:
                 out.append((q, [int(keys[i]) for i in ai if i >= 0], [float(e) for e in di if np.isfinite(e)]))
-        return pd.DataFrame(out, columns=["k", "n", "d"])
+        return pd.DataFrame(out, columns=["k", "n", "d"], dtype=object)
 
     group = ["region", "salt", "block"]
-    rest = points.groupBy(*group).cogroup(asks.groupBy(*group)).applyInPandas(other, found)
+    rest = points.groupBy(*group).cogroup(asks.groupBy(*group)).applyInPandas(other, "k bigint, n array<bigint>, d array<double>")
     pairs = first.select("k", "n", "d").unionByName(rest).select("k", F.explode(F.arrays_zip("n", "d")).alias("p")).select("k", "p.n", "p.d")
     rank = F.row_number().over(Window.partitionBy("k").orderBy("d", "n"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("k").alias(key), F.col("n").alias("neighbour"), F.col("d").alias("distance"), "rank")

@@ -41,6 +41,51 @@ def test_exact_over_many_shards(spark, clusters, monkeypatch):
     assert len(relaxed & want) >= 0.9 * len(want)
 
 
+def test_hot_cell_is_split_by_hash(spark, monkeypatch):
+    """A third of the rows lie so close together that no vantage point cuts them."""
+    for name, value in (("SHARD_ROWS", 64), ("SAMPLE_ROWS", 24), ("QUERY_ROWS", 50), ("LEAF", 8), ("SPLIT_ROWS", 70)):
+        monkeypatch.setattr(vptree, name, value)
+    rng = np.random.default_rng(7)
+    x = np.concatenate([np.ones((200, 8)) + rng.normal(0, 1e-3, (200, 8)), rng.normal(4, 2, (400, 8))]).astype(np.float32).astype(np.float64)
+    keys = rng.permutation(len(x)).astype(np.int64)
+    assert run(spark, rows_of(x, keys)) == brute(x, keys, 5)
+
+
+def test_few_regions_are_asked():
+    """Bounds hold for every row, and few regions are left."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(0, 1, 16) + rng.normal(0, 0.05, (n, 16)) for n in rng.integers(5, 60, 120)])
+    router = vptree.Router(x[rng.choice(len(x), 128, replace=False)])
+    cell, d = router.cells(x)
+    sizes = router.group({int(c): int((cell == c).sum()) for c in set(cell)}, {int(c): float(d[cell == c].max()) for c in set(cell)}, 200)
+    assert sum(sizes.values()) == len(x) and len(sizes) > 12
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(far, np.inf)
+    bound = np.sort(far, axis=1)[:, 4]
+    meets, region = router.reach(x, bound, 1.0), router.region[cell]
+    for i in range(len(x)):
+        assert meets[i, region[far[i] <= bound[i]]].all()
+    assert meets.sum(1).mean() < 3
+
+
+def test_recall_of_a_relaxed_factor(spark, sf):
+    """On ids divisible by 50 against all rows of the table."""
+    df = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/chunk_embeddings.parquet")
+    rows = vptree.valid_vectors(df, "vec_id", "embedding", 64).toPandas()
+    x, keys = np.array(rows.v.tolist(), np.float64), rows.k.to_numpy()
+    for factor, least in ((1.0, 1.0), (2.0, 0.9)):
+        near = {}
+        for r in vptree.nearest(df, factor=factor).where("vec_id % 50 = 0").collect():
+            near.setdefault(r["vec_id"], set()).add(r["neighbour"])
+        hits = total = 0
+        for i in np.flatnonzero(keys % 50 == 0):
+            d = ((x - x[i]) ** 2).sum(1)
+            d[i] = np.inf
+            want = set(keys[np.lexsort((keys, d))[:5]].tolist())
+            hits, total = hits + len(want & near[int(keys[i])]), total + 5
+        assert hits >= least * total
+
+
 def test_dirty_and_repeated(spark, clusters):
     x, keys = clusters
     x, keys = x[:40], keys[:40]
