@@ -7,9 +7,8 @@ the backward search, and suffix positions sampled for locating.  All phrases of
 ``min_words`` consecutive words of the test items are searched at once, block by
 block; every hit is located, mapped back to its document and merged into spans.
 
-Words that occur in no test item, and stretches of fewer than ``min_words``
-words between such words, can belong to no phrase; they are left out of the
-index, which loses no occurrence.
+The index holds every word of every document; words that occur in no test item
+are one symbol, which no phrase holds.
 
 A word is a run of letters and digits; case, compatibility forms and invisible
 characters inside it do not matter, everything between words is ignored.
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_WORDS = 12
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 1_000_000
 BLOCK = 65_536
 SAMPLE = 16
 ITEMS_LIMIT = 32_000_000
@@ -85,7 +84,7 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Over word ids >= 1; 0 separates stretches and is never searched."""
+    """Over word ids >= 1; 0 separates documents and is never searched."""
 
     def __init__(self, seq: np.ndarray, sigma: int):
         n = len(seq)
@@ -103,23 +102,35 @@ class FMIndex:
 
     @staticmethod
     def _suffixes(seq: np.ndarray) -> np.ndarray:
-        """Full suffix order; every separator differs from every other."""
+        """Full suffix order by prefix doubling; every separator differs from every other.
+
+        A rank is the first slot of its group of equal prefixes, so that a group is ordered in
+        place and what stands alone is never looked at again.
+        """
         n = len(seq)
         zero = seq == 0
         count = int(zero.sum())
         rank = np.where(zero, np.cumsum(zero) - 1, seq.astype(np.int64) + count)
+        step, top = 1, int(rank.max()) + 2
+        if top < 1 << 20:  # three symbols at once
+            after = np.concatenate([rank + 1, [0, 0]])
+            rank, step = (rank * top + after[1 : n + 1]) * top + after[2 : n + 2], 3
         order = np.argsort(rank, kind="stable")
-        step = 1
+        slots = np.arange(n)  # of the suffixes still to be told apart
+        keys = rank[order]
+        rank = np.empty(n, np.int64)
         while True:
-            sorted_rank = rank[order]
-            new = np.empty(n, np.int64)
-            new[order] = np.concatenate([[0], np.cumsum(sorted_rank[1:] != sorted_rank[:-1])])
-            if new[order[-1]] == n - 1:
+            new = np.concatenate([[True], keys[1:] != keys[:-1]])
+            rank[order[slots]] = np.maximum.accumulate(np.where(new, slots, 0))
+            alone = new & np.concatenate([new[1:], [True]])
+            slots = slots[~alone]
+            if not len(slots):
                 return order
-            nxt = np.zeros(n, np.int64)
-            nxt[: n - step] = new[step:] + 1
-            rank = new * (n + 2) + nxt
-            order = np.argsort(rank, kind="stable")
+            some = order[slots]
+            far = some + step
+            keys = rank[some] * (n + 1) + np.where(far < n, rank[np.minimum(far, n - 1)] + 1, 0)
+            by = np.argsort(keys, kind="stable")
+            order[slots], keys = some[by], keys[by]
             step *= 2
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,28 +188,23 @@ class Shard:
         self.clear()
 
     def clear(self) -> None:
-        self.parts, self.at, self.docs, self.offset = [np.zeros(1, np.int64)], [], [], []
+        self.parts, self.at, self.docs = [np.zeros(1, np.int64)], [], []
         self.length = 1
 
     def add(self, doc: int, text: str) -> None:
-        get, size = self.get, self.phrases.size
         words = words_of(text)
-        ids = np.array([get(w, 0) for w in words], np.int64)
-        known = np.concatenate([[0], (ids > 0).view(np.int8), [0]])
-        edge = np.flatnonzero(np.diff(known))
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            if b - a >= size:
-                self.at.append(self.length)
-                self.docs.append((doc, text))
-                self.offset.append(a)
-                self.parts += [ids[a:b], np.zeros(1, np.int64)]
-                self.length += b - a + 1
+        if words:
+            get, other = self.get, len(self.phrases.ids) + 1
+            self.at.append(self.length)
+            self.docs.append((doc, text))
+            self.parts += [np.fromiter((get(w, other) for w in words), np.int64, len(words)), np.zeros(1, np.int64)]
+            self.length += len(words) + 1
 
     def leaks(self) -> list[tuple[int, int, int, int, int]]:
         """(doc, item, first character, end, words) of every merged span."""
         phrases, found = self.phrases, []
         if self.docs and len(phrases.rows):
-            index = FMIndex(np.concatenate(self.parts), len(phrases.ids))
+            index = FMIndex(np.concatenate(self.parts), len(phrases.ids) + 1)
             starts = np.array(self.at)
             for block in range(0, len(phrases.rows), BLOCK):
                 hit, lo, hi = index.search(phrases.rows[block : block + BLOCK])
@@ -225,8 +231,7 @@ class Shard:
                 doc, text = self.docs[r]
                 if id(text) not in offsets:
                     offsets = {id(text): [m.span() for m in WORD.finditer(text)]}
-                spans, a = offsets[id(text)], self.offset[r] + int(place[f])
-                b = self.offset[r] + int(place[l]) + phrases.size - 1
+                spans, a, b = offsets[id(text)], int(place[f]), int(place[l]) + phrases.size - 1
                 out.append((doc, int(item[f]), spans[a][0], spans[b][1], b - a + 1))
         self.clear()
         return out

@@ -31,6 +31,23 @@ def test_index_counts_and_locates():
         assert sorted(index.locate(np.arange(a, b)).tolist()) == want[i]
 
 
+def test_suffix_order():
+    rng = np.random.default_rng(1)
+    for sigma, n in ((1, 60), (2, 300), (50, 400), (3_000_000, 200)):
+        seq = np.concatenate([[0], rng.integers(1, sigma + 1, n), [0], rng.integers(1, sigma + 1, n // 2), np.full(40, sigma), [0]])
+        zero = np.flatnonzero(seq == 0)
+        spell = [(0, int(np.searchsorted(zero, i))) if c == 0 else (1, int(c)) for i, c in enumerate(seq)]
+        assert fm.FMIndex._suffixes(seq).tolist() == sorted(range(len(seq)), key=lambda i: spell[i:])
+
+
+def test_every_word_is_indexed():
+    shard = fm.Shard(fm.Phrases([(1, ITEM)], 12))
+    shard.add(5, f"pad {ITEM} pad of other words " * 20)
+    shard.add(6, "no word of it")
+    assert shard.length == 1 + len(fm.words_of(f"pad {ITEM} pad of other words " * 20)) + 1 + 4 + 1
+    assert len([r for r in shard.leaks() if r[0] == 5]) == 20
+
+
 def test_layouts_and_edges(spark):
     half = " ".join(ITEM.split()[:12])
     docs = [
