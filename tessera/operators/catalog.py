@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..session import cut
 
 STATUSES = ["pending", "processing", "success", "failed", "cancelled", "partial_success"]
 FINAL = ["success", "failed", "cancelled", "partial_success"]
@@ -78,14 +79,20 @@ def collection_stats(chunks: DataFrame, key: str = "repository_identifier") -> D
 def assign_chunk_ids(chunks: DataFrame, existing: DataFrame | None = None, collection: str = "repository_identifier", order: tuple[str, ...] = ("file_path", "local_idx")) -> DataFrame:
     """Adds chunk_seq, contiguous from the collection's present size, and chunk_id.
 
-    A collection is numbered in two steps, so that a hot one is never sorted in
-    one task: rows are counted per file and the files' sums run on, then rows
-    are numbered within their file.
+    Neither the chunks nor the files of a hot collection are sorted in one task:
+    rows are counted per file, the files are cut into ranges of (collection,
+    file), sums run on within each range, and the ranges' sums - one row for
+    each range and collection in it - run on over the ranges.
     """
     first, rest = order[0], list(order[1:])
-    files = chunks.groupBy(collection, first).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(collection).orderBy(first)
-    files = files.withColumn("_before", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    files = chunks.groupBy(collection, first).agg(F.count("*").alias("_n")).repartitionByRange(collection, first)
+    files = cut(files.withColumn("_range", F.spark_partition_id()))  # sampled ranges may differ when they are made again
+    ahead = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sums = files.groupBy(collection, "_range").agg(F.sum("_n").alias("_sum"))
+    sums = sums.select(F.col(collection).alias("_c"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(ahead.partitionBy(collection).orderBy("_range")), F.lit(0)).alias("_start"))
+    inside = F.coalesce(F.sum("_n").over(ahead.partitionBy(collection, "_range").orderBy(first)), F.lit(0))
+    files = files.withColumn("_inside", inside).join(F.broadcast(sums), F.col(collection).eqNullSafe(F.col("_c")) & (F.col("_range") == F.col("_r")))
+    files = files.select(collection, first, (F.col("_inside") + F.col("_start")).alias("_before"))
     numbered = chunks.withColumn("_row", F.row_number().over(Window.partitionBy(collection, first).orderBy(*rest)) - 1)
     out = numbered.join(files, numbered[collection].eqNullSafe(files[collection]) & numbered[first].eqNullSafe(files[first])).drop(files[collection]).drop(files[first])
     base = F.lit(0)

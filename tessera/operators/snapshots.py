@@ -7,9 +7,9 @@ one digest cell over all.  Subtracting the tables of two snapshots leaves only
 the differing pairs, which are peeled off cell by cell; a bucket whose table
 does not peel to nothing, or whose digest disagrees, is summed up again with
 four times the cells.  A pair only in the newer snapshot and one only in the
-older make a key changed, added or removed.  Only cells and recovered pairs are
-shuffled after the records were reduced to hashes, never the records of both
-snapshots side by side.
+older make a key changed, added or removed.  Once the records are reduced to
+hashes, cells and recovered pairs are all that is shuffled; the pairs get their
+names from the records in place, while they are few enough to be sent to them.
 
 Edge cases: rows without snapshot number are ignored; null equals null in keys
 and values; of several rows of one key in one snapshot the latest delivery
@@ -33,6 +33,8 @@ from ..session import cut
 ROWS_PER_BUCKET = 1024
 CELLS = 64  # per hash function, at first
 LEVELS = 7
+#: Recovered pairs (28 bytes each) that are sent to the records to be named; more are joined.
+SENT = 1_000_000
 _P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 
@@ -144,14 +146,18 @@ def peel(difference: DataFrame, cells: int, level: int) -> DataFrame:
     return groups.mapInPandas(run, "pair int, bucket int, kh long, vh long, sign int")
 
 
-def changes(records: DataFrame, identity: list[str], cells: int = CELLS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """(snapshot, identity..., change_kind) from ``latest`` records."""
+def changes(records: DataFrame, identity: list[str], cells: int = CELLS, rows_per_bucket: int = ROWS_PER_BUCKET, series: int = 1) -> DataFrame:
+    """(snapshot, identity..., change_kind) from ``latest`` records.
+
+    Several series of snapshots go through together where their numbers differ
+    modulo ``series``; each is compared within itself.
+    """
     records = cut(records)
     sizes = records.groupBy("snapshot").count()
     largest = sizes.agg(F.max("count")).first()[0] or 0
     buckets = max(1, -(-largest // rows_per_bucket))
     records = records.withColumn("bucket", F.pmod("kh", F.lit(buckets).cast("long")).cast("int"))
-    order = sizes.select("snapshot", F.lag("snapshot").over(Window.orderBy("snapshot")).alias("before")).where(F.col("before").isNotNull())
+    order = sizes.select("snapshot", F.lag("snapshot").over(Window.partitionBy(F.pmod("snapshot", F.lit(series))).orderBy("snapshot")).alias("before")).where(F.col("before").isNotNull())
     order = cut(order)  # a row per snapshot
     todo, found, level, failed = records, [], 0, None
     while True:
@@ -173,7 +179,8 @@ def changes(records: DataFrame, identity: list[str], cells: int = CELLS, rows_pe
         found.append(last.unionByName(first).groupBy("pair", "bucket", "kh", "vh").agg(F.sum("sign").cast("int").alias("sign")).where("sign <> 0"))
     pairs = reduce(DataFrame.unionByName, found).select("pair", "kh", "vh", "sign").distinct()
     side = pairs.join(F.broadcast(order.withColumnRenamed("snapshot", "pair")), "pair").withColumn("snapshot", F.when(F.col("sign") > 0, F.col("pair")).otherwise(F.col("before")))
-    named = records.join(side.select("snapshot", "kh", "vh", "pair", "sign"), ["snapshot", "kh", "vh"])
+    side = side.select("snapshot", "kh", "vh", "pair", "sign")
+    named = records.join(F.broadcast(side) if pairs.count() <= SENT else side, ["snapshot", "kh", "vh"])
     kinds = named.groupBy("pair", *identity).agg(F.max("sign").alias("new"), F.min("sign").alias("old"))
     kind = F.when(F.col("new") != F.col("old"), "changed").when(F.col("new") > 0, "added").otherwise("removed")
     return kinds.select(F.col("pair").alias("snapshot"), *identity, kind.alias("change_kind"))
@@ -183,12 +190,14 @@ def repository_and_file_changes(repositories: DataFrame, files: DataFrame) -> Da
     """Both kinds of records of the test tables; repositories have the path ''."""
     white = r"^\s+|\s+$"
     who = F.lower(F.regexp_replace("repository_identifier", white, ""))
-    out = []
-    for df, path, values in (
-        (repositories, F.lit(""), [F.col("repository_url"), F.col("total_files"), F.col("total_chunks"), F.lower("last_commit_hash")]),
-        (files, F.col("file_path"), [F.col("file_type"), F.col("file_size"), F.col("line_count"), F.lower("content_hash")]),
+    records, identity = [], ["repository_identifier", "file_path"]
+    for kind, (df, path, values) in enumerate(
+        (
+            (repositories, F.lit(""), [F.col("repository_url"), F.col("total_files"), F.col("total_chunks"), F.lower("last_commit_hash")]),
+            (files, F.col("file_path"), [F.col("file_type"), F.col("file_size"), F.col("line_count"), F.lower("content_hash")]),
+        )
     ):
-        identity = ["repository_identifier", "file_path"]
-        records = latest(df, "snapshot_no", "delivered_at", [who, path], values, identity)
-        out.append(changes(records, identity))
-    return out[0].unionByName(out[1]).withColumnRenamed("snapshot", "snapshot_no")
+        found = latest(df, "snapshot_no", "delivered_at", [who, path], values, identity)
+        records.append(found.withColumn("snapshot", F.col("snapshot") * 2 + kind))
+    found = changes(records[0].unionByName(records[1]), identity, series=2)
+    return found.select(F.floor(F.col("snapshot") / 2).cast("int").alias("snapshot_no"), *identity, "change_kind")

@@ -365,7 +365,7 @@ def decode_text(spark, sf):
 
 
 _SPECIAL = f"""with f as (select distinct file_id, lower(string_split(replace(file_path, chr(92), '/'), '/')[-1]) base, content from source_files where content is not null),
-k as (select *, case when base = 'package.json' and json_valid(content) then 'package_json' when base in ('requirements.txt', 'requirements-dev.txt') then 'requirements' when base = 'pyproject.toml' then 'pyproject_toml' when starts_with(base, 'dockerfile') then 'dockerfile' else 'unknown' end kind,
+k as (select *, case when base = 'package.json' and json_valid(content) and json_type(case when json_valid(content) then content end) = 'OBJECT' then 'package_json' when base in ('requirements.txt', 'requirements-dev.txt') then 'requirements' when base = 'pyproject.toml' then 'pyproject_toml' when starts_with(base, 'dockerfile') then 'dockerfile' else 'unknown' end kind,
   list_filter(list_transform(string_split(content, chr(10)), lambda x: regexp_replace(x, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')), lambda x: x <> '' and not starts_with(x, '#')) l from f)
 select file_id, kind, case when kind = 'requirements' then array_to_string(l, chr(10)) when kind = 'dockerfile' then array_to_string(list_filter(list_transform(l, lambda x: upper(x)), lambda x: regexp_matches(x, '^({special.INSTRUCTIONS})')), chr(10)) end lines from k"""
 
@@ -467,11 +467,15 @@ def session_resolve(spark, sf):
     return catalog.resolve_sessions(requests, sessions)
 
 
-@query("select distinct repository_identifier from analysis_sessions where repository_identifier is not null and repository_identifier not in (select repository_identifier from source_files where is_processed = 'success' and repository_identifier is not null)")
+@query(
+    """with r as (select snapshot_no, lower(trim(repository_identifier)) repository_identifier from repository_snapshots where repository_identifier is not null)
+select distinct repository_identifier from r where repository_identifier not in (select repository_identifier from r where snapshot_no = (select min(snapshot_no) from r))"""
+)
 def ingest_dedupe(spark, sf):
-    """Repositories asked for that have no processed file yet."""
-    done = table(spark, sf, "source_files").where(F.col("is_processed") == "success")
-    return catalog.not_yet_ingested(table(spark, sf, "analysis_sessions").select("repository_identifier"), done)
+    """Repositories ever delivered of which the first delivery held no collection."""
+    every = table(spark, sf, "repository_snapshots").select("snapshot_no", F.lower(F.trim("repository_identifier")).alias("repository_identifier"))
+    first = every.where(F.col("repository_identifier").isNotNull()).agg(F.min("snapshot_no").alias("snapshot_no"))
+    return catalog.not_yet_ingested(every.select("repository_identifier"), every.join(F.broadcast(first), "snapshot_no"))
 
 
 @query("select repository_identifier, count(*) chunks from documents group by 1")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
+from ..session import cut
 
 # The instructions of interest.
 INSTRUCTIONS = "FROM|RUN|COPY|ADD|WORKDIR|CMD|ENTRYPOINT"
@@ -37,50 +39,74 @@ def read_ignore(root: str) -> list[str]:
 def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, excluded: list[str] = paths.EXCLUDED, allowed: list[str] = paths.ALLOWED) -> DataFrame:
     """(file_path, file_name, file_extension, file_type, language, file_size, content) of admitted files.
 
-    Paths are relative to ``root``; directories are pruned below it.  The driver
-    lists the root only; tasks list the directories below and read the files,
-    those that begin with an underscore or a dot too, which the engine's own
-    file sources hide.  Files of more bytes than any admitted text has come
-    without content; an absent root is an error.
+    Paths are relative to ``root``; directories are pruned below it.  Tasks list
+    the directories, level by level until there are enough of them to list the
+    rest side by side, and the files are spread by their path before they are
+    read, wherever they lie.  Files that begin with an underscore or a dot, which
+    the engine's own file sources hide, are read too.  Files of more bytes than
+    any admitted text has come without content; an absent root is an error.
     """
     fs, base = _open(root)
     base = base.rstrip("/")
-    top = fs.get_file_info(pafs.FileSelector(base))
-    first = [(f.path, f.size if f.is_file else -1) for f in top if f.is_file or not (f.base_name in excluded or f.base_name.startswith("."))]
+    if fs.get_file_info(base).type != pafs.FileType.Directory:
+        raise FileNotFoundError(root)
     ignore = read_ignore(root) if ignore is None else ignore
+    tasks = max(2, spark.sparkContext.defaultParallelism)
 
-    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, _ = _open(root)
-        for pdf in batches:
-            for path, size in zip(pdf.path, pdf["size"]):
-                if size >= 0:
-                    yield pd.DataFrame({"path": [path], "size": [size]})
-                    continue
-                todo = [path]
+    def listed(whole: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            fs, _ = _open(root)
+            for pdf in batches:
+                todo = list(pdf.path)
                 while todo:
                     found = fs.get_file_info(pafs.FileSelector(todo.pop()))
-                    todo += [f.path for f in found if f.type == pafs.FileType.Directory and not (f.base_name in excluded or f.base_name.startswith("."))]
+                    below = [f.path for f in found if f.type == pafs.FileType.Directory and not (f.base_name in excluded or f.base_name.startswith("."))]
                     files = [(f.path, f.size) for f in found if f.is_file]
+                    if whole:
+                        todo += below
+                    else:
+                        files += [(d, -1) for d in below]
                     yield pd.DataFrame(files, columns=["path", "size"])
 
+        return run
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, _ = _open(root)
+
+        def bytes_of(path: str, size: int) -> bytes | None:
+            if size > MAX_BYTES:
+                return None
+            with fs.open_input_stream(path) as f:
+                return f.read()
+
         for pdf in batches:
             for a in range(0, len(pdf), 64):
                 part = pdf.iloc[a : a + 64]
-                yield part.assign(raw=[fs.open_input_stream(p).read() if s <= MAX_BYTES else None for p, s in zip(part.path, part["size"])])
-
-    every = spark.createDataFrame(first, "path string, size long").repartition(max(1, min(len(first), spark.sparkContext.defaultParallelism))).mapInPandas(listed, "path string, size long")
+                yield part.assign(raw=[bytes_of(p, s) for p, s in zip(part.path, part["size"])])
+
+    schema = "path string, size long"
+    folders, files = spark.createDataFrame([(base,)], "path string"), []
+    while True:
+        level = cut(folders.mapInPandas(listed(False), schema))
+        files.append(level.where("size >= 0"))
+        folders = level.where("size < 0").select("path")
+        n = folders.count()
+        if not n or n >= 2 * tasks:
+            break
+        folders = folders.repartition(min(n, tasks))
+    if n:
+        files.append(folders.repartition(4 * tasks).mapInPandas(listed(True), schema))
+    every = reduce(DataFrame.unionByName, files)
     p = F.col("file_path")
     chosen = every.withColumn("file_path", F.substring("path", len(base) + 2, 1 << 20)).where(~paths.pruned(p, excluded) & ~paths.ignored(p, ignore) & paths.admitted(p, allowed))
-    loaded = chosen.mapInPandas(read, "path string, size long, file_path string, raw binary")
+    loaded = chosen.repartition(4 * tasks, "path").mapInPandas(read, "path string, size long, file_path string, raw binary")
     return loaded.select("file_path", paths.base_name(p).alias("file_name"), paths.extension(p).alias("file_extension"), paths.file_type(p).alias("file_type"), paths.language(p).alias("language"), F.col("size").alias("file_size"), text.decode(F.col("raw")).alias("content"))
 
 
 def special_kind(path: Column, content: Column) -> Column:
     name = F.lower(paths.base_name(path))
     return (
-        F.when((name == "package.json") & F.is_valid_utf8(F.encode(content, "UTF-8")) & F.try_parse_json(content).isNotNull(), "package_json")
+        F.when((name == "package.json") & F.is_valid_utf8(F.encode(content, "UTF-8")) & F.startswith(F.schema_of_variant(F.try_parse_json(content)), F.lit("OBJECT")), "package_json")
         .when(name.isin("requirements.txt", "requirements-dev.txt"), "requirements")
         .when(name == "pyproject.toml", "pyproject_toml")
         .when(F.startswith(name, F.lit("dockerfile")), "dockerfile")
