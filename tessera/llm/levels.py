@@ -87,6 +87,9 @@ def pool_adjacent(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Ranker:
     def __init__(self, samples: list[tuple[str, int]], rounds: int = 400, ridge: float = 1e-3):
         own = [(vector(words), i) for i, (t, _) in enumerate(samples) for words in sentences(t)]
+        self.ready = bool(own)
+        if not own:
+            return
         x, of = np.stack([v for v, _ in own]), np.array([i for _, i in own])
         grade = np.array([g for _, g in samples])
         self.known = x[:, SYNTAX:].sum(0) > 0
@@ -170,7 +173,7 @@ def reading_levels(docs: DataFrame, ranker: Ranker, key: str = "doc_id", text: s
         for batch in batches:
             keys, levels = [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if t and not t.isspace():
+                if model.ready and t and not t.isspace():
                     keys.append(k)
                     levels.append(model.level(t))
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema[0].type), pa.array(levels, pa.int64())], [key, "reading_level"])

@@ -40,7 +40,8 @@ VENDORED = {"node_modules", "bower_components", "site-packages", "vendor", "thir
 LOCKFILES = {"package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "Pipfile.lock", "Cargo.lock", "go.sum", "composer.lock", "Gemfile.lock", "uv.lock"}
 MINIFIED_NAME = re.compile(r"[.-](?:min|bundle|packed)\.(?:js|mjs|cjs|css)$", re.I)
 COMPILED = re.compile(r'^(?:﻿)?(?:"use strict";\s*)?(?:Object\.defineProperty\(exports, ?"__esModule"|var __(?:extends|assign|awaiter|importDefault|createBinding) ?=|\(\(\) ?=> ?\{ ?(?:// webpackBootstrap)?\s*(?:var|"use strict"))')
-NUMBERED = re.compile(r"\b\w*[A-Za-z]_0\d\d_?\b")
+#: Names that end in a number with leading zeros; so many of them that run on without much of a gap are a program's series.
+NUMBERED, SERIES = re.compile(r"\b\w*[A-Za-z]_?(0\d+)_?\b"), 4
 OBFUSCATED = re.compile(r"_0x[0-9a-f]{3,}")
 _MARK = re.compile(r"^[ \t]*(?://+!?|/\*+!?|\*+/?|#+!?|--|<!--|;+|\"\"\"|''')[ \t]*|[ \t]*(?:\*+/|-->|\"\"\"|''')[ \t]*$", re.M)
 _COMMENT = re.compile(r"^[ \t]*(?://|/\*|\*|#|--|<!--|;|\"\"\"|''')")
@@ -98,6 +99,15 @@ def _comment_lines(lines: Iterable[str]) -> list[str]:
     return out
 
 
+def serial(text: str) -> bool:
+    """Whether names carry a counter with leading zeros, as no hand writes it: 000, 001, 002 and on."""
+    by_width: dict[int, set[int]] = {}
+    for n in NUMBERED.findall(text):
+        if len(n) > 2:
+            by_width.setdefault(len(n), set()).add(int(n))
+    return any(len(x) >= SERIES and max(x) - min(x) < 2 * len(x) for x in by_width.values())
+
+
 class Judge:
     def __init__(self, excluded: frozenset[str]):
         self.excluded = excluded
@@ -127,7 +137,7 @@ class Judge:
         raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
         n = np.bincount(raw, minlength=256)
         size = len(raw)
-        if size < 200:
+        if not size or text.isspace():
             return None
         blank = int(n[9] + n[10] + n[13] + n[32]) / size
         lines = int(n[10]) + 1
@@ -163,7 +173,7 @@ class Judge:
             return "minified"
         if COMPILED.match(text):
             return "generated"
-        if "_000" in text and len(set(NUMBERED.findall(text))) >= 4:
+        if "00" in text and serial(text):
             return "generated"
         if "_0x" in text and len(OBFUSCATED.findall(text)) >= 4:
             return "obfuscated"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread, table
+from ..session import once, spread, table
 from . import credentials, fmindex, levels, pairs, provenance, splitting, syntax, tokenizer, vptree
 
 
@@ -22,7 +22,9 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pieces(spark: SparkSession, sf: str, with_text: bool) -> DataFrame:
-    files = spread(table(spark, sf, "source_files").select("file_id", "content", "language"))
+    files = table(spark, sf, "source_files")
+    # pieces carry the text, which repeated rows would have to be taken out of
+    files = spread(once(files, "file_id", "content", "language") if with_text else files.select("file_id", "content", "language"))
     settings = splitting.read_settings(table(spark, sf, "parser_settings"))
     return splitting.split_column(files, settings, "file_id", "content", "language", with_text)
 
@@ -33,7 +35,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    return _pieces(spark, sf, True).dropDuplicates(["file_id", "piece_no"])
+    return _pieces(spark, sf, True)
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,8 +73,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    files = spread(table(spark, sf, "source_files").select("file_id", "content"))
-    return credentials.redact_credentials(files).distinct()
+    return credentials.redact_credentials(spread(once(table(spark, sf, "source_files"), "file_id", "content")))
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:

@@ -37,3 +37,12 @@ def test_edges(spark):
     by = {r[0]: r[1] for r in got}
     assert by[1] == 1 and by[2] == 4 and by[None] == 4 and by[6] == 4 and by[5] == 1 and not {3, 4} & set(by)
     assert levels.reading_levels(spark.createDataFrame([], "doc_id long, text string"), ranker).count() == 0
+
+
+def test_without_usable_samples(spark):
+    docs = spark.createDataFrame([(1, EASY), (2, HARD)], "doc_id long, text string")
+    for rows in ([], [(None, 1), ("x y", None), (" ", 2), ("...", 3)]):
+        ranker = levels.train(spark.createDataFrame(rows, "text string, reading_level long"))
+        assert levels.reading_levels(docs, ranker).count() == 0
+    one = levels.train(spark.createDataFrame([(EASY, 2), (HARD, 2)], "text string, reading_level long"))
+    assert {r[1] for r in levels.reading_levels(docs, one).collect()} == {2}

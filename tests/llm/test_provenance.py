@@ -36,8 +36,13 @@ judge = p.Judge(frozenset({"dist", ".git"}))
         ("a.py", CODE + "icon = 'data:image/png;base64," + "QUJD" * 60 + "'\n" + CODE, None),
         ("a.js", '"use strict";\nObject.defineProperty(exports, "__esModule", { value: true });\nvar a = 1;\n', "generated"),
         ("a.py", "def get_a_000(m): pass\ndef get_a_001(m): pass\ndef get_a_002(m): pass\ndef get_a_003(m): pass\n", "generated"),
+        ("a.c", "".join(f"F{i:03d} = {i};\n" for i in range(1, 9)) + CODE, "generated"),
+        ("a.py", "port_0080 = 1\nport_0443 = 2\nport_8080 = 3\nport_0022 = 4\n" + CODE, None),
+        ("a.js", "const table = [\n" + "  [34, 17, 1],\n" * 12 + "];\n", "data"),
+        ("a.py", "LIMIT = 12\n", None),
         (None, CODE, None),
         ("a.py", "", None),
+        ("a.py", " \n", None),
     ],
 )
 def test_judge(path, text, want):

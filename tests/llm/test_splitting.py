@@ -62,3 +62,18 @@ def test_settings(spark):
     df = spark.createDataFrame([("a", 5, 1), (None, 7, None), ("b", None, 1)], "language string, chunk_size long, chunk_overlap long")
     assert s.read_settings(df) == {"a": (5, 1), None: (7, 0)}
     assert s.read_settings(df.limit(0)) == {None: (1000, 200)}
+
+
+def test_texts_of_pieces_and_redactions_are_not_shuffled(spark, tmp_path):
+    """Repeated rows are taken out by key and place before the texts are cut."""
+    from tessera.llm import queries
+
+    rows = [(1, "x " * 900, "python"), (1, "x " * 900, "python"), (2, "password = 'Tuldor5218!tullo'\n" + "y " * 900, None), (3, None, "go")]
+    spark.createDataFrame([("python", 500, 50), (None, 600, 0)], "language string, chunk_size long, chunk_overlap long").coalesce(1).write.parquet(str(tmp_path / "parser_settings.parquet"))
+    spark.createDataFrame(rows, "file_id long, content string, language string").repartition(8).write.parquet(str(tmp_path / "source_files.parquet"))
+    pieces = queries.p3_pieces(spark, str(tmp_path))
+    assert pieces.where("file_id = 1").count() == pieces.where("file_id = 1").select("piece_no").distinct().count()
+    red = queries.p7_redacted(spark, str(tmp_path))
+    assert [r["file_id"] for r in red.collect()] == [2]
+    for df in (pieces, red):
+        assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
