@@ -45,7 +45,7 @@ def top(base: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", v
                     x = np.array(pdf.v.iloc[a : a + 1024].tolist(), np.float64)
                     keys = pdf.k.iloc[a : a + 1024].to_numpy(np.int64)
                     d = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * (q @ x.T)
-                    near = np.argsort(d, axis=1)[:, : 2 * k + 8] if d.shape[1] > 2 * k + 8 else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+                    near = np.argpartition(d, 2 * k + 7, axis=1)[:, : 2 * k + 8] if d.shape[1] > 2 * k + 8 else np.broadcast_to(np.arange(d.shape[1]), d.shape)
                     exact = ((x[near] - q[:, None, :]) ** 2).sum(2)
                     both_d, both_k = np.concatenate([best_d, exact], 1), np.concatenate([best_k, keys[near]], 1)
                     order = np.lexsort((both_k, both_d), axis=1)[:, :k]

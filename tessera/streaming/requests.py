@@ -9,6 +9,8 @@ from ..operators import vector
 from ..plans import ingest as pipeline
 
 SCHEMA = "root string, repository string"
+#: Request files in a batch, whose requests the driver works off one by one.
+FILES = 100
 
 
 def drain(spark: SparkSession, requests: str, warehouse: str, checkpoint: str, provider: vector.EmbeddingProvider | None = None) -> StreamingQuery:
@@ -20,5 +22,5 @@ def drain(spark: SparkSession, requests: str, warehouse: str, checkpoint: str, p
         for r in batch.where("root is not null and repository is not null").dropDuplicates(["repository"]).collect():
             pipeline.ingest(spark, r["root"], r["repository"], warehouse, embedder)
 
-    stream = spark.readStream.schema(SCHEMA).json(requests)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", FILES).json(requests)
     return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
