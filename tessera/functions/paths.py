@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 # What kind of file an extension names, and its language.
 CODE = {".py": "python", ".js": "js", ".jsx": "js", ".ts": "ts", ".tsx": "ts", ".java": "java", ".cpp": "cpp", ".cxx": "cpp", ".cc": "cpp", ".c": "c", ".h": "c", ".hpp": "cpp", ".cs": "csharp", ".php": "php", ".rb": "ruby", ".go": "go", ".rs": "rust", ".swift": "swift", ".kt": "kotlin", ".scala": "scala", ".clj": None, ".sh": None, ".sql": None, ".html": "html", ".css": None, ".vue": "js"}
+# Documents, configuration, names without extension, binary files, and what is admitted or left out.
 DOCUMENT = {".md": "markdown", ".txt": None, ".rst": "rst", ".tex": "latex", ".adoc": None}
 CONFIG = [".json", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".conf", ".env", ".xml", ".gitignore", ".gitattributes"]
 SPECIAL = {"dockerfile": "config", "makefile": "config", "readme": "document", "license": "document", "changelog": "document"}
 BINARY = [".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".jpg", ".jpeg", ".png", ".gif", ".bmp", ".svg", ".ico", ".mp3", ".mp4", ".avi", ".mov", ".wav", ".zip", ".tar", ".gz", ".exe", ".dll", ".so", ".dylib", ".jar", ".class", ".pyc", ".o", ".obj", ".lib", ".a", ".bin", ".dat"]
 ALLOWED = [".py", ".js", ".jsx", ".ts", ".tsx", ".java", ".cpp", ".c", ".h", ".hpp", ".cs", ".php", ".rb", ".go", ".rs", ".swift", ".kt", ".scala", ".md", ".txt", ".rst", ".json", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".sh", ".sql", ".html", ".css", ".vue"]
 EXCLUDED = [".git", "node_modules", "dist", "build", "venv", ".venv", "target"]
-#: Extensions with a syntax-aware chunker.
-PARSED = [".py", ".js", ".jsx", ".ts", ".tsx", ".java", ".go"]
+# Extensions with a syntax-aware chunker.
+PARSED = [".py", ".js", ".jsx", ".mjs", ".ts", ".tsx", ".java", ".cpp", ".cc", ".cxx", ".c++", ".hpp", ".h", ".go", ".rs", ".cs"]
 MAX_PARSE_BYTES = 1_048_576
 
 

@@ -1,8 +1,7 @@
 """Chunking of files: by syntax where a language is known, recursively by separators else.
 
-Python is cut by its own syntax tree; JavaScript, TypeScript, Java and Go by a
-scanner of declarations and their balanced braces, so their elements are
-approximate.  All functions are pure; ``chunk_files`` runs them in Arrow batches.
+Python is cut by its own syntax tree; JavaScript, TypeScript, Java, Go, C++, Rust
+and C# by an outline of their declarations (``outline``).  All functions are pure; ``chunk_files`` runs them in Arrow batches.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ import ast
 import json
 import re
 import warnings
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,6 +18,8 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from . import outline
+
 # Separators by language, tried in order.
 SEPARATORS: dict[str | None, list[str]] = {
     "python": ["\nclass ", "\ndef ", "\n\tdef ", "\n\n", "\n", " ", ""],
@@ -79,6 +81,10 @@ def recursive_split(text: str, language: str | None = None, size: int = 1000, ov
     return split(text, SEPARATORS.get(language) or SEPARATORS[None])
 
 
+# Fixed value: a class of more than so many chunk sizes of bytes is cut into its members.
+DECOMPOSE = 2.5
+
+
 @dataclass
 class Element:
     text: str
@@ -123,38 +129,13 @@ def python_elements(text: str) -> list[Element]:
     return out
 
 
-_DECLARED = {
-    "js": [("import", r"^[ \t]*import\b[^\n]*"), ("class", r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"), ("function", r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), ("function", r"^[ \t]+(?:static\s+|async\s+|get\s+|set\s+|\*)*(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b)(\w+)\s*\([^()\n]*\)\s*(?::[^{\n]+)?\{"), ("function", r"(?:async\s+)?\([^()\n]*\)\s*(?::\s*[\w<>\[\]| ]+)?=>\s*\{()")],
-    "java": [("import", r"^[ \t]*(?:import|package)\s[^\n;]*;"), ("class", r"^[ \t]*(?:@\w+\s+)*(?:(?:public|private|protected|static|final|abstract|sealed)\s+)*(?:class|interface|enum|record)\s+(\w+)"), ("function", r"^[ \t]*(?:@\w+\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|default)\s+)*(?!return\b|new\b|else\b|throw\b)[\w<>\[\], ?]+\s(\w+)\s*\([^()\n]*\)\s*(?:throws [\w, .]+)?\{"), ("assignment", r"^[ \t]*(?:(?:public|private|protected|static|final|volatile)\s+)+[\w<>\[\], ?]+\s(\w+)\s*(?:=[^;]*)?;")],
-    "go": [("import", r"^(?:package\s+\w+|import\s+(?:\([^)]*\)|[^\n]+))"), ("assignment", r"^type\s+(\w+)"), ("function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)"), ("assignment", r"^(?:var|const)\s+(\w+)")],
-}
-_DECLARED["ts"] = [*_DECLARED["js"], ("class", r"^[ \t]*(?:export\s+)?(?:interface|enum|namespace)\s+(\w+)"), ("assignment", r"^[ \t]*(?:export\s+)?type\s+(\w+)")]
 _NOISE = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
 
 
 def braced_elements(text: str, language: str) -> list[Element]:
-    """Declarations up to the brace that closes them; without braces, up to the line's end."""
-    plain = _NOISE.sub(lambda m: re.sub(r"[{}()]", " ", m[0]), text)
-    out = []
-    for kind, pattern in _DECLARED[language]:
-        for m in re.finditer(pattern, plain, re.M):
-            start, end = m.start() + len(m[0]) - len(m[0].lstrip()), m.end()
-            line_end = plain.find("\n", end)
-            line_end = len(plain) if line_end < 0 else line_end
-            brace = m.end() - 1 if plain[m.end() - 1] == "{" else plain.find("{", m.end(), line_end)
-            if brace >= 0 and kind != "import":
-                depth, i = 0, brace
-                for b in re.compile(r"[{}]").finditer(plain, brace):
-                    depth += 1 if b[0] == "{" else -1
-                    i = b.end()
-                    if not depth:
-                        break
-                end = i
-            elif kind != "import":
-                end = line_end
-            name = text[start:end] if kind == "import" else (m[1] if m.lastindex and m[1] else "Unknown")
-            out.append(Element(text[start:end], kind, name, plain.count("\n", 0, start) + 1, plain.count("\n", 0, end) + 1))
-    return sorted(out, key=lambda e: (e.first, -e.last))
+    """Declarations of a brace language in source order, nested ones too."""
+    breaks = [i for i, c in enumerate(text) if c == "\n"]
+    return [Element(text[a:b], kind, name, bisect_left(breaks, a) + 1, bisect_left(breaks, b) + 1) for kind, name, a, b in outline.declarations(text, language)]
 
 
 def _units(element: Element, language: str, size: int) -> list[str]:
@@ -187,7 +168,9 @@ def split_large(element: Element, language: str, size: int = 1000, overlap: int
     if nonws(element.text) <= most:
         return [element]
     units: list[tuple[str, bool]] = []
-    for u in _units(element, language, size):
+    # a class that is not much above a chunk is one unit, a larger one its head and members
+    small_class = element.kind == "class" and len(element.text.encode("utf-8", "replace")) <= DECOMPOSE * size
+    for u in [element.text] if small_class else _units(element, language, size):
         if nonws(u) <= most:
             units.append((u, False))
         else:  # line by line
@@ -263,7 +246,7 @@ def merge_small(elements: list[Element], least: int = 100, size: int = 1000) ->
 
 def syntax_chunks(text: str, language: str, size: int = 1000, overlap: int = 200, least: int = 100, most: int = 2000) -> list[Element]:
     """Elements of one file; the whole file, flagged, where there is no parser or it fails."""
-    if language not in ("python", *_DECLARED):
+    if language not in ("python", *outline.LANGUAGES):
         return [Element(text, "file", "", 1, text.count("\n") + 1, {"unsupported_language": True})]
     try:
         found = python_elements(text) if language == "python" else braced_elements(text, language)
@@ -297,6 +280,7 @@ def chunk_files(files: DataFrame, key: str = "file_path", content: str = "conten
                         flag = next((f for f in ("unsupported_language", "parse_error", "no_elements") if f in x), None)
                         rows.append((k, i, e.text, lang, e.kind, e.name, e.first, e.last, x.get("is_chunk"), x.get("original_element_name"), x.get("chunk_non_ws_chars"), x.get("is_decomposed_unit"), x.get("is_merged"), x.get("merged_count"), x.get("merged_elements"), x.get("merged_non_ws_chars"), flag))
                 else:
+                    # Fixed value: the line that names the file.
                     head = f"文件路径: {k}\n\n" if header else ""
                     for i, t in enumerate(recursive_split(head + text, lang, size, overlap)):
                         rows.append((k, i, t, lang, None, None, i * (size // 50) + 1, *(None,) * 10))

@@ -467,6 +467,19 @@ def session_resolve(spark, sf):
     return catalog.resolve_sessions(requests, sessions)
 
 
+@query(
+    """select generation_mode, count(*) queries, count(answer) answered, sum(retrieved_chunks_count)::bigint chunks, min(total_time) fastest, max(total_time) slowest, round(avg(retrieval_time), 6) retrieval, round(avg(generation_time), 6) generation
+from (select distinct id, generation_mode, answer, retrieved_chunks_count, total_time, retrieval_time, generation_time from query_logs) group by generation_mode"""
+)
+def query_log(spark, sf):
+    """Use and timings of the logged queries by mode; repeated rows count once."""
+    log = table(spark, sf, "query_logs").select("id", "generation_mode", "answer", "retrieved_chunks_count", "total_time", "retrieval_time", "generation_time").distinct()
+    return log.groupBy("generation_mode").agg(
+        F.count("*").alias("queries"), F.count("answer").alias("answered"), F.sum("retrieved_chunks_count").alias("chunks"), F.min("total_time").alias("fastest"), F.max("total_time").alias("slowest"),
+        F.round(F.avg("retrieval_time"), 6).alias("retrieval"), F.round(F.avg("generation_time"), 6).alias("generation"),
+    )
+
+
 @query(
     """with r as (select snapshot_no, lower(trim(repository_identifier)) repository_identifier from repository_snapshots where repository_identifier is not null)
 select distinct repository_identifier from r where repository_identifier not in (select repository_identifier from r where snapshot_no = (select min(snapshot_no) from r))"""
