@@ -66,6 +66,21 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "documents").select("doc_id", "text", "source")).select(F.col("doc_id").alias("chunk_seq"), F.coalesce("text", F.lit("")).alias("content"), path.alias("file_path"))
 
 
+_INDEXES: dict[tuple[str, str], lexical.Index] = {}
+
+
+def _index(spark: SparkSession, sf: str) -> lexical.Index:
+    """The documents' index, built once; that of other tables is given up."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        for other in list(_INDEXES):
+            index = _INDEXES.pop(other)
+            if other[0] == key[0]:
+                index.clear()
+        _INDEXES[key] = lexical.build(_chunks(spark, sf))
+    return _INDEXES[key]
+
+
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "eval_items").where(F.col("text").isNotNull()).select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
@@ -125,13 +140,13 @@ def tokenize(spark, sf):
 @query(f"with {_ASKED}, {_BM25} select token, df, round(idf, 6) idf from idf")
 def bm25_stats(spark, sf):
     """Document frequency and floored weight of every token."""
-    return lexical.build(_chunks(spark, sf)).idf.select("token", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, sf).idf.select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"with {_ASKED}, {_BM25} select n chunks, round(avgdl, 6) avgdl, round(mean_idf, 6) mean_idf, terms from size, terms")
 def bm25_corpus(spark, sf):
     """Corpus statistics of the index."""
-    stats = lexical.build(_chunks(spark, sf)).stats
+    stats = _index(spark, sf).stats
     return spark.createDataFrame([(stats["chunks"], round(stats["avgdl"], 6), round(stats["mean_idf"], 6), stats["terms"])], "chunks long, avgdl double, mean_idf double, terms long")
 
 
@@ -139,7 +154,7 @@ def bm25_corpus(spark, sf):
 def bm25_topk(spark, sf):
     """The ten best chunks of every question, boost included."""
     chunks = _chunks(spark, sf)
-    return lexical.top(lexical.build(chunks), chunks, _questions(spark, sf)).select(F.col("q").alias("query_id"), F.col("chunk").alias("chunk_seq"), "score", "rank")
+    return lexical.top(_index(spark, sf), chunks, _questions(spark, sf)).select(F.col("q").alias("query_id"), F.col("chunk").alias("chunk_seq"), "score", "rank")
 
 
 @query(
@@ -192,7 +207,7 @@ hr as (select *, row_number() over (partition by q order by round(rrf, 12) desc,
 
 
 def _fused(spark: SparkSession, sf: str, first: bool) -> DataFrame:
-    return fusion.hybrid(_embedded(spark, sf), _asked(spark, sf, first))
+    return fusion.hybrid(_embedded(spark, sf), _asked(spark, sf, first), _index(spark, sf))
 
 
 _FUSED = ("query_id", "chunk_seq", "rrf", "vector_rank", "bm25_rank", "rank")
