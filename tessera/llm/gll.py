@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterable
 _TOKEN = re.compile(r"\s*(?:(?P<group>[({\[<]):(?P<inside>\w+)[)}\]>]|'(?P<lit>[^']+)'|@(?P<pred>\w+)|(?P<name>\w+)|(?P<op>[()*+?|]))")
 END = -1
 #: Fronts kept; with more, the table starts anew before the next file.
-FRONTS = 100_000
+FRONTS = 50_000
 
 
 class Front(dict):

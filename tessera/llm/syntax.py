@@ -165,16 +165,12 @@ class Language:
             return False
 
 
-_ID = r"[^\W\d][\w]*"
-
-
 class Script(Language):
     """JavaScript as a module."""
 
     name, grammar, top = "js", grammars.JS, "Program"
     keywords = frozenset("break case catch class const continue debugger default delete do else enum export extends finally for function if import in instanceof new null return super switch this throw true false try typeof var void while with yield await let static implements interface package private protected public".split())
     soft = frozenset("async of get set from as type assert require using global".split())
-    ts_soft = frozenset()
     contents = {
         "(": ["Expr", "Args", "Params", "ForHead", "CatchHead"],
         "[": ["Expr", "ArrLit", "ArrPat", "Assign"],
@@ -192,7 +188,6 @@ class Script(Language):
 
     def __init__(self):
         super().__init__()
-        self.semi = self.kind(";")
         names = "ID NUM STR TPL REGEX this super null true false ) ] }".split()
         self.operand = {self.kind(n) for n in names} | {self.kind(s) for s in self.soft}
         self.heads = {self.kind(n) for n in "if for while switch catch function with".split()}
