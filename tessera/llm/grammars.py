@@ -28,7 +28,7 @@ Operand: Prefix* Postfix | Priv
 Prefix: '!' | '~' | '+' | '-' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await' | Angle
 Postfix: Primary Suffix* ('++' | '--')?
 Suffix: '.' (Name | Priv) | '?.' (Name | Priv | [:Expr] | (:Args) | TypeArgs (:Args)) | [:Expr] | (:Args) | 'TPL' | '!' | TypeArgs (:Args) | TypeArgs 'TPL'
-Primary: Id | 'NUM' | 'STR' | 'TPL' | 'REGEX' | 'this' | 'super' | 'null' | 'true' | 'false' | (:Expr) | [:ArrLit] | {:ObjLit} | Func | Class
+Primary: Id | 'NUM' | 'STR' | 'TPL' | 'REGEX' | 'JSX' | 'this' | 'super' | 'null' | 'true' | 'false' | (:Expr) | [:ArrLit] | {:ObjLit} | Func | Class
   | 'new' Primary TypeArgs? | 'new' '.' Name | 'import' (:Args) | 'import' '.' Name | '@' Postfix Class
 Arrow: 'async'? (Id | TypeParams? (:Params) Ann?) '=>' (Block | @arrowexpr Assign)
 Func: 'async'? 'function' '*'? Id? TypeParams? (:Params) Ann? Block

@@ -9,7 +9,8 @@ stepped through before, in this file or another, is only looked up.
 Edge cases: null content and unknown extensions are not judged; an empty file is
 valid (but no Go or minified file is without a package clause: Go needs one); a
 byte-order mark and a leading ``#!`` line are skipped; files over any size are
-parsed whole; repeated rows give one result.
+parsed whole; templates or markup nested hundreds of levels deep are invalid;
+repeated rows give one result.
 """
 
 from __future__ import annotations
@@ -127,11 +128,15 @@ class Language:
 
     def run(self, text: str, *names: str) -> Front:
         """The front after the whole text, from the start of these nonterminals."""
+        return self.feed(self.tokens(text), *names)
+
+    def feed(self, tokens: list[int], *names: str) -> Front:
+        """The same for the kinds of its tokens."""
         front, inside, special = self.net.start(*names), self.inside(), self.special
         skip, newline, bad, opens, closes = self.skip, self.newline, self.bad, self.opens, self.closes
         stack: list[tuple[str, int, Front]] = []
         first = 0
-        for k in self.tokens(text):
+        for k in tokens:
             if k > special:
                 front = front[k | first]
                 first = 0
@@ -161,7 +166,7 @@ class Language:
             text = text[text.find("\n") :] if "\n" in text else ""
         try:
             return self.top in self.run(text, self.top).accepts
-        except Invalid:
+        except (Invalid, RecursionError):
             return False
 
 
@@ -188,7 +193,7 @@ class Script(Language):
 
     def __init__(self):
         super().__init__()
-        names = "ID NUM STR TPL REGEX this super null true false ) ] }".split()
+        names = "ID NUM STR TPL REGEX JSX this super null true false ) ] }".split()
         self.operand = {self.kind(n) for n in names} | {self.kind(s) for s in self.soft}
         self.heads = {self.kind(n) for n in "if for while switch catch function with".split()}
 
@@ -277,24 +282,34 @@ class Script(Language):
 
     def careful(self, text: str) -> list[int]:
         """One token after another: regular expressions and nested templates."""
-        out, i, n, last = [], 0, len(text), -1
+        return self.scan(text, 0, False)[0]
+
+    def scan(self, text: str, i: int, within: bool) -> tuple[list[int], int]:
+        """Kinds from here to the end or, ``within`` braces, to the brace that closes them; and where that is."""
+        out, n, last, depth = [], len(text), -1, 0
         match, kinds = self.pattern.match, self.kinds
         paren: list[bool] = []
         after_head = False
         while (i := self.blanks.match(text, i).end()) < n:
             c = text[i]
+            if within and c in "{}":
+                depth += 1 if c == "{" else -1
+                if depth < 0:
+                    return out, i
             if c == "/" and text[i + 1 : i + 2] not in ("/", "*") and (last not in self.operand or after_head) and (m := self.slow.match(text, i)):
                 k, i = self.kind("REGEX"), m.end()
+            elif c == "<" and self.elements and (last not in self.operand or after_head) and self.opening.match(text, i):
+                k, i = self.kind("JSX"), self.element(text, i)
             elif c == "`":
                 j = i + 1
                 while j < n and text[j] != "`":
                     if text.startswith("${", j):
                         j = self.closing(text, j + 2, n)
                         if j < 0:
-                            return [self.bad]
+                            return [self.bad], n
                     j += 1 + (j < n and text[j] == "\\")
                 if j >= n:
-                    return [self.bad]
+                    return [self.bad], n
                 k, i = self.template(text[i : j + 1]), j + 1
             else:
                 m = match(text, i)
@@ -307,7 +322,86 @@ class Script(Language):
                 elif c == ")" and paren:
                     after_head = paren.pop()
                 last = k
-        return out
+        if within:
+            raise Invalid("open brace")
+        return out, i
+
+    # -- elements of markup, in the dialects that have them -----------------------
+
+    elements = False
+    opening = re.compile(r"<(?:>|[A-Za-z_$])")
+    _name, _pad = re.compile(r"[A-Za-z_$][\w$]*(?:[.:-][\w$-]*)*"), re.compile(r"(?:\s|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)*")
+
+    def braces(self, text: str, i: int, spread: bool) -> int:
+        """Behind a pair of braces that begins here and holds an expression, spread or (in children) nothing."""
+        inner, end = self.scan(text, i + 1, True)
+        inner = [k for k in inner if k not in (self.skip, self.newline)]
+        if inner and inner[0] == self.kind("..."):
+            inner = inner[1:]
+        elif spread:
+            raise Invalid("attribute")
+        if (inner or spread) and "Expr" not in self.feed(inner, "Expr").accepts:
+            raise Invalid("expression")
+        return end + 1
+
+    def element(self, text: str, i: int) -> int:
+        """Behind the element that begins here; open ones are kept on a list, whatever their depth."""
+        open_: list[str] = []
+        while True:
+            # a tag begins here
+            closes = text.startswith("</", i)
+            i = self._pad.match(text, i + 1 + closes).end()
+            m = self._name.match(text, i)
+            name, i = (m[0], m.end()) if m else ("", i)
+            i = self._pad.match(text, i).end()
+            if closes:
+                if not open_ or open_.pop() != name or text[i : i + 1] != ">":
+                    raise Invalid("closing tag")
+                i += 1
+            else:
+                while (c := text[i : i + 1]) not in (">", "/"):
+                    if c == "{" and name:
+                        i = self.braces(text, i, True)
+                    elif name and (m := self._name.match(text, i)):
+                        i = self._pad.match(text, m.end()).end()
+                        if text[i : i + 1] == "=":
+                            i = self._pad.match(text, i + 1).end()
+                            c = text[i : i + 1]
+                            if c in ("\"", "'") and c:
+                                i = text.find(c, i + 1) + 1
+                                if not i:
+                                    raise Invalid("attribute")
+                            elif c == "{":
+                                j = i
+                                i = self.braces(text, i, False)
+                                if not text[j + 1 : i - 1].strip():
+                                    raise Invalid("attribute")
+                            elif c == "<":
+                                i = self.element(text, i)
+                            else:
+                                raise Invalid("attribute")
+                    else:
+                        raise Invalid("tag")
+                    i = self._pad.match(text, i).end()
+                if c == ">":
+                    open_.append(name)
+                    i += 1
+                elif name and text.startswith("/>", i):
+                    i += 2
+                else:
+                    raise Invalid("tag")
+            if not open_:
+                return i
+            while (c := text[i : i + 1]) != "<":  # children
+                if not c or c in "}>":
+                    raise Invalid("child")
+                if c == "{":
+                    i = self.braces(text, i, False)
+                else:
+                    m = self._words.match(text, i)
+                    i = m.end()
+
+    _words = re.compile(r"[^<>{}]+")
 
 
 class TypeScript(Script):
@@ -321,6 +415,25 @@ class TypeScript(Script):
     }
 
 
+class ScriptX(Script):
+    """JavaScript with elements of markup."""
+
+    name, elements = "jsx", True
+
+    def tokens(self, text: str) -> list[int]:
+        return self.careful(text)
+
+
+class TypeScriptX(TypeScript):
+    """TypeScript with elements of markup; a type in angle brackets before an expression is none."""
+
+    name, elements = "tsx", True
+    opening = re.compile(r"<(?:>|[A-Za-z_$](?![\w$]*\s*(?:,|extends\b)))")
+
+    def tokens(self, text: str) -> list[int]:
+        return self.careful(text)
+
+
 class Java(Language):
     name, grammar, top = "java", grammars.JAVA, "Unit"
     keywords = frozenset("abstract assert break case catch class const continue default do else enum extends final finally for goto if implements import instanceof interface native new package private protected public return static strictfp super switch synchronized this throw throws transient try void volatile while true false null".split())
@@ -529,7 +642,7 @@ class Python(Language):
             return False
 
 
-LANGUAGES = {".py": Python, ".pyi": Python, ".js": Script, ".mjs": Script, ".ts": TypeScript, ".mts": TypeScript, ".java": Java, ".go": Go}
+LANGUAGES = {".py": Python, ".pyi": Python, ".js": Script, ".mjs": Script, ".jsx": ScriptX, ".ts": TypeScript, ".mts": TypeScript, ".tsx": TypeScriptX, ".java": Java, ".go": Go}
 _READY: dict[type, Language] = {}
 
 
